@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.names import canonical_source_sql
 from ..plans.shared import table
-from . import neardup, overlap, prose, reading
+from . import leakage, mixing, neardup, overlap, packing, prose, reading, tokens
+
+
+P5_FOUND_SQL = f"""
+with train as (
+  select rec_id, max({canonical_source_sql("_source")}) as source, max(length(text)) as size
+  from corpus_records where split = 'train' and text is not null and _source is not null group by rec_id),
+sizes as (select source, sum(size) as size from train group by source)
+select mix_name, source_name from mix_targets t left join sizes s on s.source = {canonical_source_sql("t.source_name")}
+where t.max_repeats * coalesce(s.size, 0) < t.target_share * t.total_chars
+"""
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +41,26 @@ def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "corpus_records"))
 
 
+def _p2_budget(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.budget(tokens.record_tokens(table(spark, d, "corpus_records"), table(spark, d, "source_catalog")))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "corpus_records"), table(spark, d, "mix_targets"), table(spark, d, "source_catalog"))
+
+
+def _p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.found(table(spark, d, "corpus_records"), table(spark, d, "mix_targets"), table(spark, d, "source_catalog"))
+
+
+def _p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_documents(table(spark, d, "documents"), table(spark, d, "pack_windows"))
+
+
+def _p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
@@ -38,9 +69,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _p1_found,
         "p1_statistics": _p1_statistics,
+        "p2_budget": _p2_budget,
         "p3_found": _p3_found,
         "p3_report": _p3_report,
         "p4_found": _p4_found,
+        "p5_found": _p5_found,
+        "p5_selection": lambda s, d: _mix(s, d)[1],
+        "p5_shares": lambda s, d: mixing.shares(*_mix(s, d)),
+        "p6_containers": _p6_containers,
+        "p6_usage": lambda s, d: packing.usage(_p6_containers(s, d)),
+        "p7_found": _p7_found,
+        "p7_items": lambda s, d: leakage.item_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_found": lambda s, d: reading.demanding(_levels(s, d)),
         "p8_levels": _levels,
         "p8_profile": lambda s, d: reading.profile(_levels(s, d)),
@@ -48,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5_FOUND_SQL}
