@@ -73,7 +73,7 @@ def links(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     agree = SKETCH_BITS - F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("r.sketch")))
     met = rows.alias("l").join(rows.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (agree >= LEAST_AGREE))
     met = materialise(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "met")
-    edges = verified(met, sets.select(F.col("rec_id").alias("id"), "runs").dropDuplicates(["id"]), threshold)
+    edges = verified(met, sets.select(F.col("rec_id").alias("id"), "runs"), threshold)
     return members, edges
 
 

@@ -11,23 +11,34 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import canonical_source
 from ..plans.shared import materialise
-from .similar import RUN_FIELDS, THRESHOLD, run_sets, verified
+from .similar import THRESHOLD, run_sets, verified
 from .textnorm import Batch, mix64
 
 BITS = 256
-TABLES, BLOCK = 48, 18  # a pair whose fingerprints differ in a share p of the bits meets with 1 - (1 - (1 - p)^BLOCK)^TABLES
+TABLES, BLOCK = 48, 16  # a pair whose fingerprints differ in a share p of the bits meets with 1 - (1 - (1 - p)^BLOCK)^TABLES
 RADIUS = 40  # of the first 128 bits; texts at the threshold differ in about 26, unrelated ones in about 62
 
-EXTRA = [T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("blocks", T.ArrayType(T.IntegerType(), False))]
+LANES = [f"f{k}" for k in range(BITS // 64)]
+EXTRA = [T.StructField(f, T.LongType()) for f in LANES]
 _POSITIONS = np.random.default_rng(20).permuted(np.tile(np.arange(BITS), (TABLES, 1)), axis=1)[:, :BLOCK]
 
 
+def blocks() -> Column:
+    """The keys of a fingerprint's blocks: the bits at each table's permuted positions, hashed with the table's number."""
+    keys = []
+    for t, positions in enumerate(_POSITIONS):
+        masks = [sum(1 << 63 - int(p) % 64 for p in positions if p // 64 == lane) for lane in range(len(LANES))]
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        keys.append(F.hash(F.lit(t), *[F.col(f).bitwiseAND(F.lit(m).cast("long")) for f, m in zip(LANES, signed) if m]))
+    return F.array(*keys)
+
+
 def fingerprints(batch: Batch) -> np.ndarray:
     """A bit matrix (texts x BITS): bit j is set where most different words of the text have bit j set in their hash."""
     values, offsets = batch.distinct_words()
@@ -43,12 +54,8 @@ def fingerprints(batch: Batch) -> np.ndarray:
 
 
 def _extra_of(batch: Batch, values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    bits = fingerprints(batch)
-    packed = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-    weights = (1 << np.arange(BLOCK)).astype(np.int32)
-    keys = np.stack([bits[:, _POSITIONS[t]].astype(np.int32) @ weights for t in range(TABLES)], axis=1) + (np.arange(TABLES, dtype=np.int32) << BLOCK)
-    ends = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * TABLES)
-    return [pa.array(packed[:, 0]), pa.array(packed[:, 1]), pa.ListArray.from_arrays(ends, pa.array(keys.astype(np.int32).ravel()))]
+    lanes = np.packbits(fingerprints(batch), axis=1).view(">i8").astype(np.int64)
+    return [pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(len(LANES))]
 
 
 def split_sets(records: DataFrame) -> DataFrame:
@@ -66,20 +73,18 @@ def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     sets = split_sets(records)
     members = sets.select("rec_id", "is_eval", "set_key").distinct()
     # A representative of each set on each side; fixed-width columns only, combined before the shuffle.
-    reps = sets.groupBy("set_key", "is_eval").agg(F.min("rec_id").alias("id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("blocks").alias("blocks"))
-    reps = materialise(reps, "reps")
+    reps = materialise(sets.groupBy("set_key", "is_eval").agg(F.min("rec_id").alias("id"), *[F.first(f).alias(f) for f in LANES]), "reps")
 
     def side(flag: bool, tag: str) -> DataFrame:
         rows = reps.where(F.col("is_eval") == F.lit(flag))
-        return rows.select(F.explode("blocks").alias("block"), *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "set_key", "f0", "f1")])
+        return rows.select(F.explode(blocks()).alias("block"), *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "f0", "f1")])
 
     distance = F.bit_count(F.col("f0_e").bitwiseXOR(F.col("f0_t"))) + F.bit_count(F.col("f1_e").bitwiseXOR(F.col("f1_t")))
-    close = (distance <= RADIUS) & (F.col("set_key_e") != F.col("set_key_t"))
-    met = side(True, "e").join(side(False, "t"), "block").where(close)
-    met = materialise(met.select(F.col("id_e").alias("a"), F.col("id_t").alias("b"), F.col("set_key_e").alias("key_e"), F.col("set_key_t").alias("key_t")).distinct(), "met")
-    near = verified(met, sets.select(F.col("rec_id").alias("id"), "runs").dropDuplicates(["id"]), threshold).select("key_e", "key_t", "similarity")
-    same = reps.where("is_eval").select(F.col("set_key").alias("key_e"), F.col("set_key").alias("key_t"), F.lit(1.0).alias("similarity"))
-    linked = near.unionByName(same)
+    met = side(True, "e").join(side(False, "t"), "block").where(distance <= RADIUS)
+    met = materialise(met.select(F.col("id_e").alias("a"), F.col("id_t").alias("b")).distinct(), "met")
+    near = verified(met, sets.select(F.col("rec_id").alias("id"), "runs"), threshold)
+    keys = {flag: reps.where(F.col("is_eval") == F.lit(flag)).select(F.col("id").alias(i), F.col("set_key").alias(k)) for flag, i, k in ((True, "a", "key_e"), (False, "b", "key_t"))}
+    linked = near.join(keys[True], "a").join(keys[False], "b").select("key_e", "key_t", "similarity")
     evals = members.where("is_eval").select(F.col("set_key").alias("key_e"), F.col("rec_id").alias("eval_id"))
     trains = members.where("not is_eval").select(F.col("set_key").alias("key_t"), F.col("rec_id").alias("train_id"))
     pairs = linked.join(evals, "key_e").join(trains, "key_t").where("eval_id <> train_id")
@@ -101,5 +106,3 @@ def report(records: DataFrame) -> DataFrame:
         F.count(F.when(F.col("s") == 1.0, 1)).alias("with_equal_text"),
     )
 
-
-__all__ = ["fingerprints", "found", "overlap_pairs", "report", "RUN_FIELDS"]

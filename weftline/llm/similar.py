@@ -64,10 +64,10 @@ def jaccard(a: Column, b: Column) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose run sets reach the threshold, with their similarity.
 
-    sets: id, runs. Only sets of ids in a pair are moved, once; both look-ups then join that smaller table.
+    sets: id, runs (repeated ids are taken once). Only sets of ids in a pair are moved, once; both look-ups then join that smaller table.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = materialise(sets.join(ids, "id", "left_semi"), "sets")
+    needed = materialise(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
     left = needed.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
     right = needed.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
     out = pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("runs_a"), F.col("runs_b")))
