@@ -12,7 +12,7 @@ def canonical_source(source: Column, extension: str = ".jsonl") -> Column:
     Letter case, blanks around the name, a leading path and a missing extension are
     undone. Null and blank names give null.
     """
-    base = F.lower(F.regexp_replace(F.regexp_extract(source, r"([^/\\]*)$", 1), r"^\s+|\s+$", ""))
+    base = F.lower(F.btrim(F.substring_index(F.replace(source, F.lit("\\"), F.lit("/")), "/", -1), F.lit(" \t\n\r\f")))
     full = F.when(base.endswith(extension), base).otherwise(F.concat(base, F.lit(extension)))
     return F.when(base != "", full)
 

@@ -20,8 +20,8 @@ def tokens_sql(text: str) -> str:
 
 def clean(text: Column, most_chars: int = 20_000) -> Column:
     """Line breaks to blanks, outer white space off, cut to most_chars; null where nothing is left."""
-    flat = F.regexp_replace(F.translate(text, "\n\r", "  "), r"^[ \t\f]+|[ \t\f]+$", "")
-    return F.when(flat != "", F.substring(flat, 1, most_chars))
+    flat = F.btrim(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" ")), F.lit(" \t\f"))
+    return F.substring(F.nullif(flat, F.lit("")), 1, most_chars)
 
 
 def clean_sql(text: str, most_chars: int = 20_000) -> str:

@@ -42,16 +42,16 @@ def union_sources(parts: list[DataFrame], index: str = "src_idx") -> DataFrame:
 
 
 def dedup_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row (in order) of each key; rows with a null key are kept.
+    """The first row (in order, which tells rows apart) of each key; rows with a null key are kept.
 
     The least order key of each key is found by a combined aggregate, which sends one row
     per key and task through the shuffle, so a key that a third of the rows share is no
     hot spot; the rows are then met by semi join.
     """
-    keyed = df.withColumn("__key", key)
-    first = keyed.where("__key is not null").groupBy("__key").agg(F.min(F.struct(*order)).alias("__first")).select(F.col("__first.*"))
-    kept = keyed.where("__key is not null").drop("__key").join(first, order, "left_semi")
-    return kept.unionByName(keyed.where("__key is null").drop("__key"))
+    alone = F.concat_ws(":", F.lit("row"), *[F.col(c).cast("string") for c in order])
+    keyed = df.select(F.coalesce(key, alone).alias("__key"), F.struct(*order).alias("__at"))
+    first = keyed.groupBy("__key").agg(F.min("__at").alias("__at")).select("__at.*")
+    return df.join(first, order, "left_semi")
 
 
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
