@@ -116,8 +116,9 @@ class PieceIndex:
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, edits: int = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, longest_run, edits, passage_words: documents that hold a passage of an item within the edit budget.
 
-    documents: doc_id, text; items: item_id, text_a, text_b. Null texts hold nothing and
-    item texts shorter than a passage leak nothing. longest_run is the longest exact run
+    documents: doc_id, text; items: item_id, text_a, text_b; other columns are not read.
+    Null texts and ids hold nothing, without documents or items there are no rows,
+    repeated documents have repeated rows, and item texts shorter than a passage leak nothing. longest_run is the longest exact run
     (in words) of the best match, edits its least distance to a passage, passage_words
     the length of the item text matched. The items are the query set: their index is
     broadcast in blocks of at most block_bytes of text, every document meets every block.
@@ -141,7 +142,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, edits: int = E
                     cols = [part.column(0).take(pa.array(doc))] + [pa.array(v.astype(np.int64)) for v in values]
                     yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(cols, target)], schema=target)
 
-        found = documents.where("text is not null").select("doc_id", "text").mapInArrow(go, schema)
+        found = documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(go, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -57,7 +57,7 @@ def allocate(budget: float, leaves: pd.DataFrame, path: tuple[str, ...] = ("doma
 
 def train_records(records: DataFrame) -> DataFrame:
     """rec_id, source, size (code points) of train records with a text and a source, each once, under the true source."""
-    known = records.where("split = 'train' and text is not null and _source is not null")
+    known = records.where("split = 'train' and text is not null and _source is not null and rec_id is not null")
     sized = known.select("rec_id", canonical_source(F.col("_source")).alias("source"), F.char_length("text").cast("long").alias("size"))
     return sized.groupBy("rec_id").agg(F.max("source").alias("source"), F.max("size").alias("size")).where("source is not null")
 
@@ -66,13 +66,13 @@ def plan(sized: DataFrame, targets: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per target: what its source can give (max_repeats times its size), whether that falls short, and the planned size.
 
     sized: source, size of the records to choose from. A source without records has size 0;
-    null shares count as 0, null repeats as 0. The plan has a row per target (the targets
+    null shares count as 0, null repeats as 0; targets without a mix or a source name are left out. The plan has a row per target (the targets
     and the catalogue are parameter tables); each mix is planned in one group.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     name = canonical_source(F.col("source_name"))
     places = catalog.select(name.alias("source"), "domain", "lang").dropDuplicates(["source"])
-    wanted = targets.select(
+    wanted = targets.where("mix_name is not null and source_name is not null").select(
         "mix_name", "source_name", name.alias("source"), F.coalesce(F.col("target_share"), F.lit(0.0)).alias("target_share"),
         F.coalesce(F.col("max_repeats"), F.lit(0)).cast("long").alias("max_repeats"), F.coalesce(F.col("total_chars"), F.lit(0)).cast("long").alias("total_size"),
     )

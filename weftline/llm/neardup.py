@@ -65,7 +65,7 @@ def _extra_of(batch: Batch, values: np.ndarray, offsets: np.ndarray) -> list[pa.
 
 def links(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, edges): rec_id with its class (smallest rec_id with an equal run set), and verified links a < b of classes."""
-    sets = materialise(run_sets(records, ["rec_id"], EXTRA, _extra_of), "nearsets")
+    sets = materialise(run_sets(records.where("rec_id is not null"), ["rec_id"], EXTRA, _extra_of), "nearsets")
     classes = sets.groupBy("set_key").agg(F.min("rec_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = materialise(classes, "classes")
     members = sets.select("rec_id", "set_key").distinct().join(classes.select("set_key", "id"), "set_key").select("rec_id", "id")
@@ -80,8 +80,9 @@ def links(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
 def groups(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """group_id, rec_id of all records in a group of two or more; group_id is the group's smallest rec_id.
 
-    records: rec_id, text. Null texts and texts with too few runs are in no group; a
-    record delivered twice counts once.
+    records: rec_id, text; other columns are not read. Null ids and texts and texts with
+    too few runs are in no group; a record delivered twice counts once; an empty table has
+    no groups.
     """
     members, edges = links(records, threshold)
     found = components(edges.select("a", "b"))

@@ -60,7 +60,7 @@ def _extra_of(batch: Batch, values: np.ndarray, offsets: np.ndarray) -> list[pa.
 
 def split_sets(records: DataFrame) -> DataFrame:
     """rec_id, is_eval, run set and fingerprint of every record with a split; repeated deliveries once."""
-    known = records.where(F.col("split").isin("train", "validation", "test")).withColumn("is_eval", F.col("split") != "train")
+    known = records.where(F.col("split").isin("train", "validation", "test") & F.col("rec_id").isNotNull()).withColumn("is_eval", F.col("split") != "train")
     sets = run_sets(known, ["rec_id", "is_eval"], EXTRA, _extra_of)
     return materialise(sets, "splitsets")
 
@@ -68,7 +68,9 @@ def split_sets(records: DataFrame) -> DataFrame:
 def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """eval_id, train_id, similarity: every near-same pair of a train record and a validation or test record.
 
-    records: rec_id, text, split. Null splits and texts with too few runs are in no pair.
+    records: rec_id, text, split; other columns are not read. Null ids, splits and texts,
+    and texts with too few runs, are in no pair; a record is never paired with itself, and
+    repeated rows pair once. An empty side gives no pairs.
     """
     sets = split_sets(records)
     members = sets.select("rec_id", "is_eval", "set_key").distinct()

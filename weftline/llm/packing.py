@@ -91,15 +91,23 @@ def items(counted: DataFrame, windows: DataFrame) -> DataFrame:
     counted: doc_id, n_tokens. There is a plan for each window and one ('joint') that may use all their
     capacities. An item needs its tokens and the window's specials. A text longer than
     the (largest) capacity by itself is cut into full pieces and a rest; others stay
-    whole. Texts without tokens, null ones included, are no items.
+    whole. Texts without tokens, null ones included, and null ids are no items; windows
+    without a capacity are left out, one that its specials fill is an error, and without
+    windows there are no items. Repeated documents are packed as often as they come.
     """
+    windows = windows.where("window_name is not null and capacity is not null")
     plans = windows.select(F.col("window_name").alias("plan"), "capacity", "specials_per_item")
     joint = windows.agg(F.max("capacity").alias("capacity"), F.max("specials_per_item").alias("specials_per_item"))
     plans = plans.unionByName(joint.where("capacity is not null").select(F.lit("joint").alias("plan"), "capacity", "specials_per_item"))
     # A handful of parameter rows: they become columns of literals, not a join.
     specs = [(r["plan"], int(r["capacity"]), int(r["specials_per_item"] or 0)) for r in plans.collect()]
+    if any(c <= s for _, c, s in specs):
+        raise ValueError("a window's specials fill its capacity")
+    if not specs:
+        kind = counted.schema["doc_id"].dataType.simpleString()
+        return counted.sparkSession.createDataFrame([], f"plan string, doc_id {kind}, piece int, tokens int, length int")
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("plan"), F.lit(c - s).alias("room"), F.lit(s).alias("specials")) for p, c, s in specs])).alias("w")
-    rows = counted.where("n_tokens > 0").select("doc_id", "n_tokens", each).select("doc_id", "n_tokens", "w.*")
+    rows = counted.where("n_tokens > 0 and doc_id is not null").select("doc_id", "n_tokens", each).select("doc_id", "n_tokens", "w.*")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / F.col("room")))).alias("piece"))
     tokens = F.least(F.col("n_tokens") - F.col("piece") * F.col("room"), F.col("room").cast("long"))
     return rows.select("plan", "doc_id", F.col("piece").cast("int").alias("piece"), tokens.cast("int").alias("tokens"), (tokens + F.col("specials")).cast("int").alias("length"))
@@ -127,7 +135,7 @@ def pack(counted: DataFrame, windows: DataFrame, overhead: int = OVERHEAD) -> Da
     """
     spark = counted.sparkSession
     rows = materialise(items(counted, windows), "items")
-    capacities = {r["window_name"]: int(r["capacity"]) for r in windows.where("capacity is not null").collect()}
+    capacities = {r["window_name"]: int(r["capacity"]) for r in windows.where("window_name is not null and capacity is not null").collect()}
     sizes = sorted(set(capacities.values()))
     histogram: dict[str, np.ndarray] = {}
     for r in rows.groupBy("plan", "length").agg(F.count("*").alias("n")).toLocalIterator():

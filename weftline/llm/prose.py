@@ -40,6 +40,9 @@ COMMON_WORDS = frozenset(
 # Characters that source code, markup and tables use far more often than prose.
 SYMBOLS = "{}[]<>=_#*/\\|~^`$@%&+;"
 
+# Marks that part the entries of menus and inline lists.
+SEPARATORS = ("|", "»", "›", "•", "·", " > ")
+
 REACH = 4  # words on either side that a common word vouches for
 
 _SYMBOL_BYTES, _DIGIT_BYTES = SYMBOLS.encode(), b"0123456789"
@@ -60,6 +63,7 @@ STATISTICS = {
     "prose_share": ("low", 0.05, -10.0),
     "distinct_run_share": ("low", 0.05, -10.0),
     "irregular_share": ("high", 0.02, 10.0),
+    "separator_share": ("high", 0.02, 10.0),
 }
 _FIELDS = [*STATISTICS]
 
@@ -91,7 +95,8 @@ def measure(texts: list[str], split: list[list[str]], facts: WordFacts) -> dict[
     tables, keyword heaps and gibberish have none whatever their layout, running
     sentences have one nearly everywhere, whatever their line breaks, case or punctuation.
     distinct_run_share falls when a phrase is repeated over and over; irregular_share is
-    the share of characters in words that mix letters and digits or are absurdly long.
+    the share of characters in words that mix letters and digits or are absurdly long;
+    separator_share counts the marks between entries of menus for each word.
     """
     counts = np.fromiter(map(len, split), np.int64, len(split))
     ends = np.cumsum(counts)
@@ -125,6 +130,7 @@ def measure(texts: list[str], split: list[list[str]], facts: WordFacts) -> dict[
         "common_share": total(common) / n,
         "prose_share": total(near) / n,
         "distinct_run_share": [len(set(zip(w, w[1:], w[2:]))) / (len(w) - 2) if len(w) > 2 else 1.0 for w in split],
+        "separator_share": np.fromiter((sum(map(t.count, SEPARATORS)) for t in texts), float, len(texts)) / n,
         "irregular_share": total(np.where(flat & facts.IRREGULAR, lengths, 0)) / np.maximum(size, 1),
     }
 
@@ -164,7 +170,7 @@ def measured(df: DataFrame, keep: list[str], text: str = "text", extra: list[T.S
 def sketches(stats: DataFrame, by: str = "lang") -> DataFrame:
     """A KLL sketch of each statistic for each value of by, plus one ('all') pooled over the natural languages. Sketches merge."""
     own = stats.groupBy(by).agg(*[F.expr(f"kll_sketch_agg_double({f})").alias(f) for f in _FIELDS])
-    pooled = own.where(F.col(by).isin("he", "en")).agg(*[F.expr(f"kll_merge_agg_double({f})").alias(f) for f in _FIELDS]).select(F.lit("all").alias(by), *_FIELDS)
+    pooled = own.where(F.col(by).isin("he", "en")).groupBy(F.lit("all").alias(by)).agg(*[F.expr(f"kll_merge_agg_double({f})").alias(f) for f in _FIELDS])
     return own.unionByName(pooled)
 
 
@@ -215,12 +221,13 @@ def source_kinds(catalog: DataFrame) -> DataFrame:
 def record_quality(records: DataFrame, catalog: DataFrame, percentiles: bool = True) -> DataFrame:
     """One row per record (rec_id) with its statistics, scores and is_prose.
 
-    Records: rec_id, text, _source. Null and blank texts have no row. Of a record
+    Records: rec_id, text, _source; other columns are not read. Null and blank texts and
+    null ids have no row, an empty table gives none. Of a record
     delivered several times one row is kept. A null source counts as no code source.
     lang is 'code' for records of code sources, else the script most letters belong to;
     code records are described but never flagged (is_prose null).
     """
-    base = records.select("rec_id", "text", canonical_source(F.col("_source")).alias("source"))
+    base = records.where("rec_id is not null").select("rec_id", "text", canonical_source(F.col("_source")).alias("source"))
     stats = measured(base, ["rec_id", "source"]).dropDuplicates(["rec_id"])
     stats = lookup_join(stats, source_kinds(catalog), F.split("source", "_")[0] == F.col("__family"))
     stats = stats.withColumn("lang", F.when(F.col("__kind") == "code", "code").otherwise(F.col("script"))).drop("__kind", "__family")

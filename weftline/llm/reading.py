@@ -96,7 +96,9 @@ def fit(spark, documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_
 def levels(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per document with a text: level (1 to 4, null without known words), its figures, is_prose.
 
-    Null and blank texts have no row; doc_id is taken as unique, repeated rows stay repeated.
+    documents: doc_id, text, lang, source, domain; labels: doc_id, level_rated; other
+    columns are not read. Null and blank texts and null ids have no row; repeated rows stay
+    repeated. Null ratings are left out, and without any rating no level is given.
     """
     spark = documents.sparkSession
     table, weights = fit(spark, documents, labels, max_labelled)
@@ -108,8 +110,8 @@ def levels(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
         known, q = _profile(shared.value, w, 2)
         return known, None if q is None else min(hi, max(lo, w0[0] + sum(a * b for a, b in zip(w0[1:], q))))
 
-    keep = [c for c in ("doc_id", "lang", "source", "domain") if c in documents.columns]
-    stats = prose.measured(documents.withColumnRenamed("lang", "__lang"), [c if c != "lang" else "__lang" for c in keep], extra=extra, extra_of=extra_of)
+    rows = documents.where("doc_id is not null").select("doc_id", F.col("lang").alias("__lang"), "source", "domain", "text")
+    stats = prose.measured(rows, ["doc_id", "__lang", "source", "domain"], extra=extra, extra_of=extra_of)
     out = prose.document_prose(materialise(stats, "reading"))
     ratio = F.col("n_words") / F.when(F.col("sentences") > 0, F.col("sentences"))
     return out.select(

@@ -81,9 +81,11 @@ def with_token_counts(df: DataFrame, keep: list[str], tokenizer: str = TOKENIZER
 def record_tokens(records: DataFrame, catalog: DataFrame, tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
     """rec_id, source, lang, domain, n_chars, n_tokens: each record once, under its true source.
 
-    Sources the catalogue lacks have null lang and domain; a null source stays null.
+    records: rec_id, _source, text; catalog: source_name, lang, domain; other columns are
+    not read. Sources the catalogue lacks have null lang and domain; a null source stays
+    null; a null text has null counts, an empty one 0; rows without an id are left out.
     """
-    base = records.select("rec_id", canonical_source(F.col("_source")).alias("source"), F.char_length("text").cast("long").alias("n_chars"), "text")
+    base = records.where("rec_id is not null").select("rec_id", canonical_source(F.col("_source")).alias("source"), F.char_length("text").cast("long").alias("n_chars"), "text")
     counted = with_token_counts(base, ["rec_id", "source", "n_chars"], tokenizer, folder)
     once = counted.groupBy("rec_id").agg(F.max("source").alias("source"), F.max("n_chars").alias("n_chars"), F.max("n_tokens").alias("n_tokens"))
     names = catalog.select(canonical_source(F.col("source_name")).alias("source"), "lang", "domain").where("source is not null").dropDuplicates(["source"])
