@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.texts import tokens, tokens_sql
-from ..operators import packing
+from ..operators import driver, packing
 from ..operators import sequences as seq
 from .shared import table
 
@@ -175,3 +175,11 @@ def packing_efficiency(spark, d):
 def packed_samples(spark, d):
     """Sequences in each rank's packed batches, the padding segment counted as one."""
     return pack_best_fit(spark, d).groupBy("rank").agg(F.sum(F.size("cu_seqlens") - 1).alias("samples"), F.count("*").alias("rows"))
+
+
+@query(f"select doc_id, len({TOK}[1:256])::BIGINT as n, coalesce(list_sum(list_transform({TOK}[1:256], lambda w: length(w) + 5)), 0)::BIGINT as checksum from documents where text is not null")
+def read_pretokenized(spark, d):
+    """Token ids written as bytes and read back, cut to 256."""
+    raw = driver.to_bytes(_id_docs(spark, d).select("doc_id", F.col("ids").alias("input_ids")), "input_ids")
+    rows = driver.pretokenized(raw, 256)
+    return rows.select("doc_id", F.size("attention_mask").cast("long").alias("n"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))

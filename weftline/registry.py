@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus_queries, evaluation_queries, sequence_queries
+from .plans import corpus_queries, evaluation_queries, sequence_queries, streaming_queries
 
-MODULES = [corpus_queries, sequence_queries, evaluation_queries]
+MODULES = [corpus_queries, sequence_queries, evaluation_queries, streaming_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
