@@ -4,7 +4,8 @@ Two permutations give every signature coordinate: sigma scatters the runs over t
 64-bit integers, pi is shifted circularly by k for coordinate k, and the coordinate is the
 least pi(sigma(x) + k) over the text's runs. Bands of ROWS coordinates are joined, a 64-bit
 sketch of one bit for each of 64 coordinates discards pairs far below the threshold inside
-the join, and the exact share of common runs decides.
+the join, and the exact share of common runs decides. Members of crowded bands are joined
+without comparing all of them with one another.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shared import materialise
-from .similar import THRESHOLD, components, run_sets, verified
+from .similar import THRESHOLD, components, crowded, ends, fetched, prefix_pairs, run_sets, verified
 from .textnorm import Batch, mix64
 
 BANDS, ROWS = 28, 4  # a pair of similarity s meets with 1 - (1 - s^ROWS)^BANDS: 0.996 at 0.65, 0.983 at 0.6
+MOST_TOGETHER = 1024  # members of a band whose sketches are all compared; larger bands go by pivot and rarest runs
 SKETCH_BITS = 64
 LEAST_AGREE = 42  # of the 64 sketch bits; at 0.6 similarity 51 agree on average, 42 lies 2.9 standard deviations below
 
@@ -63,28 +65,51 @@ def _extra_of(batch: Batch, values: np.ndarray, offsets: np.ndarray) -> list[pa.
     return [pa.array(sketch), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel()))]
 
 
-def links(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def links(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER) -> tuple[DataFrame, DataFrame]:
     """(members, edges): rec_id with its class (smallest rec_id with an equal run set), and verified links a < b of classes."""
     sets = materialise(run_sets(records.where("rec_id is not null"), ["rec_id"], EXTRA, _extra_of), "nearsets")
     classes = sets.groupBy("set_key").agg(F.min("rec_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = materialise(classes, "classes")
     members = sets.select("rec_id", "set_key").distinct().join(classes.select("set_key", "id"), "set_key").select("rec_id", "id")
     rows = classes.select(F.explode("bands").alias("band"), "id", "sketch")
+    full = crowded(rows, "band", "id", most_together)
+    cold = rows.join(full, "band", "left_anti")
     agree = SKETCH_BITS - F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("r.sketch")))
-    met = rows.alias("l").join(rows.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (agree >= LEAST_AGREE))
+    met = cold.alias("l").join(cold.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (agree >= LEAST_AGREE))
     met = materialise(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "met")
-    edges = verified(met, sets.select(F.col("rec_id").alias("id"), "runs"), threshold)
+    crowd = materialise(rows.join(full, "band", "left_semi").select("band", "id"), "crowd")
+    runs = fetched(sets.withColumnRenamed("rec_id", "id"), ends(met).unionByName(crowd.select("id")))
+    edges = verified(met, runs, threshold).select("a", "b")
+    if not full.isEmpty():
+        edges = edges.unionByName(_crowded_links(crowd, runs, threshold))
     return members, edges
 
 
-def groups(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _crowded_links(rows: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
+    """Links that join the members of crowded bands (band, id) as all pairs would.
+
+    Every member is held against its band's smallest id. Two members that both reach it are
+    joined through it; only pairs with a member that does not are left, and those are found
+    by their rarest runs. Copies of one text thus cost a comparison each, and texts of one
+    form that differ otherwise do not meet at all.
+    """
+    pivots = rows.groupBy("band").agg(F.min("id").alias("a"))
+    held = materialise(rows.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "held")
+    reached = materialise(verified(held, runs, threshold).select("a", "b"), "reached")
+    others = held.join(reached, ["a", "b"], "left_anti").select(F.col("b").alias("id"))
+    met = prefix_pairs(runs, others, rows.select("id"), threshold)
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return reached.unionByName(verified(met, runs, threshold).select("a", "b"))
+
+
+def groups(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER) -> DataFrame:
     """group_id, rec_id of all records in a group of two or more; group_id is the group's smallest rec_id.
 
     records: rec_id, text; other columns are not read. Null ids and texts and texts with
     too few runs are in no group; a record delivered twice counts once; an empty table has
     no groups.
     """
-    members, edges = links(records, threshold)
+    members, edges = links(records, threshold, most_together)
     found = components(edges.select("a", "b"))
     placed = members.join(found, "id", "left").select("rec_id", F.coalesce("component", "id").alias("group_id"))
     placed = materialise(placed, "placed")

@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 
 from ..functions.names import canonical_source
 from ..plans.shared import materialise
-from .similar import THRESHOLD, run_sets, verified
+from .similar import THRESHOLD, crowded, ends, fetched, prefix_pairs, run_sets, verified
 from .textnorm import Batch, mix64
 
 BITS = 256
-TABLES, BLOCK = 48, 16  # a pair whose fingerprints differ in a share p of the bits meets with 1 - (1 - (1 - p)^BLOCK)^TABLES
+TABLES, BLOCK = 56, 16  # a pair whose fingerprints differ in a share p of the bits meets with 1 - (1 - (1 - p)^BLOCK)^TABLES
+MOST_TOGETHER = 4096  # texts of a block whose fingerprints are all compared; those of larger blocks meet by their rarest runs
 RADIUS = 40  # of the first 128 bits; texts at the threshold differ in about 26, unrelated ones in about 62
 
 LANES = [f"f{k}" for k in range(BITS // 64)]
@@ -65,7 +66,7 @@ def split_sets(records: DataFrame) -> DataFrame:
     return materialise(sets, "splitsets")
 
 
-def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER) -> DataFrame:
     """eval_id, train_id, similarity: every near-same pair of a train record and a validation or test record.
 
     records: rec_id, text, split; other columns are not read. Null ids, splits and texts,
@@ -82,9 +83,18 @@ def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         return rows.select(F.explode(blocks()).alias("block"), *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "f0", "f1")])
 
     distance = F.bit_count(F.col("f0_e").bitwiseXOR(F.col("f0_t"))) + F.bit_count(F.col("f1_e").bitwiseXOR(F.col("f1_t")))
-    met = side(True, "e").join(side(False, "t"), "block").where(distance <= RADIUS)
+    # Blocks that too many texts share: their texts meet by their rarest runs instead, which finds every near-same pair.
+    full = crowded(reps.select(F.explode(blocks()).alias("block"), "id"), "block", "id", most_together)
+    met = side(True, "e").join(full, "block", "left_anti").join(side(False, "t"), "block").where(distance <= RADIUS)
     met = materialise(met.select(F.col("id_e").alias("a"), F.col("id_t").alias("b")).distinct(), "met")
-    near = verified(met, sets.select(F.col("rec_id").alias("id"), "runs"), threshold)
+    crowd = materialise(reps.select("is_eval", "id", F.explode(blocks()).alias("block")).join(full, "block", "left_semi").select("is_eval", "id").distinct(), "crowd")
+    runs = fetched(sets.withColumnRenamed("rec_id", "id"), ends(met).unionByName(crowd.select("id")))
+    if not full.isEmpty():
+        evals, trains = (crowd.where(F.col("is_eval") == F.lit(flag)).select("id") for flag in (True, False))
+        # Texts with equal runs on both sides meet whatever their blocks.
+        equal = reps.where("is_eval").select("set_key", F.col("id").alias("a")).join(reps.where("not is_eval").select("set_key", F.col("id").alias("b")), "set_key").select("a", "b")
+        met = met.unionByName(prefix_pairs(runs, evals, trains, threshold)).unionByName(equal.join(crowd.select(F.col("id").alias("a")), "a", "left_semi")).distinct()
+    near = verified(met, runs, threshold)
     keys = {flag: reps.where(F.col("is_eval") == F.lit(flag)).select(F.col("id").alias(i), F.col("set_key").alias(k)) for flag, i, k in ((True, "a", "key_e"), (False, "b", "key_t"))}
     linked = near.join(keys[True], "a").join(keys[False], "b").select("key_e", "key_t", "similarity")
     evals = members.where("is_eval").select(F.col("set_key").alias("key_e"), F.col("rec_id").alias("eval_id"))
@@ -93,9 +103,9 @@ def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return pairs.groupBy("eval_id", "train_id").agg(F.max("similarity").alias("similarity"))
 
 
-def found(records: DataFrame) -> DataFrame:
+def found(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER) -> DataFrame:
     """rec_id_a, rec_id_b (smaller first) of the overlapping pairs."""
-    pairs = overlap_pairs(records)
+    pairs = overlap_pairs(records, threshold, most_together)
     return pairs.select(F.least("eval_id", "train_id").alias("rec_id_a"), F.greatest("eval_id", "train_id").alias("rec_id_b")).distinct()
 
 

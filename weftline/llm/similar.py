@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..plans.shared import discard, materialise
+from ..plans.shared import discard, lookup_join, materialise
 from .textnorm import Batch, WordHashes, set_key
 
 RUN = 3  # words in a run
 LEAST_RUNS = 20  # different runs a text needs
 THRESHOLD = 0.6  # share of runs that must stand in both texts
+SLICE = 16  # buckets with more are told by one member in SLICE
 CHUNK = 2000  # texts hashed at once, bounds the worker's memory
 
 RUN_FIELDS = [T.StructField("set_key", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType(), False))]
@@ -61,19 +62,65 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose run sets reach the threshold, with their similarity.
+def fetched(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and runs of the sets named in ids, each once, as a table of its own.
 
-    sets: id, runs (repeated ids are taken once). Only sets of ids in a pair are moved, once; both look-ups then join that smaller table.
+    All sets are passed once; they are shuffled only if the ids are too many to broadcast.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = materialise(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    left = needed.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
-    right = needed.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
+    wanted = materialise(ids.select("id").distinct(), "wanted")
+    return materialise(lookup_join(sets.select("id", "runs"), wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose run sets (id, runs, each id once) reach the threshold, with their similarity."""
+    left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
     out = pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("runs_a"), F.col("runs_b")))
     return out.where(F.col("similarity") >= threshold).drop("runs_a", "runs_b")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The ids of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def crowded(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
+    """Keys that clearly more than most members share, judged by the members of one hash slice in SLICE.
+
+    This only chooses the way a key's members are compared; both ways find the same pairs.
+    """
+    seen = rows.where(F.pmod(F.xxhash64(member), F.lit(SLICE)) == 0)
+    return materialise(seen.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most / SLICE).select(key), "crowded")
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, n, run: the rarest runs of each set (id, runs), enough of them that two sets at the threshold share one.
+
+    A set of n runs needs n - ceil(threshold n) + 1 of them, in one order for all: by how
+    many of these sets have the run, then by the run. Runs of a common form stand last, so
+    texts that share only the form do not meet.
+    """
+    flat = sets.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    common = flat.groupBy("run").agg(F.count("*").alias("df"))
+    ordered = flat.join(common, "run").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("r"))  # the runs of one text
+    enough = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
+    return ordered.select("id", "n", F.explode(F.slice(F.col("r.run"), F.lit(1), enough)).alias("run"))
+
+
+def prefix_pairs(sets: DataFrame, left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b: pairs of an id of left and one of right that may reach the threshold, none that does left out.
+
+    sets: id, runs, each id once, of at least all ids of left and right.
+    """
+    sides = left.select("id", F.lit(1).alias("side")).unionByName(right.select("id", F.lit(2).alias("side"))).distinct()
+    sides = materialise(sides.groupBy("id").agg(F.sum("side").alias("side")), "sides")  # 1 left, 2 right, 3 both
+    index = prefixes(sets.join(sides, "id", "left_semi"), threshold).join(sides, "id")
+    index = materialise(index, "prefixes")
+    a, b = index.where("side in (1, 3)"), index.where("side in (2, 3)")
+    met = a.select("run", F.col("id").alias("a"), F.col("n").alias("na")).join(b.select("run", F.col("id").alias("b"), F.col("n").alias("nb")), "run")
+    return met.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """id and component (smallest id reached) of all ids in edges (a, b).
 
