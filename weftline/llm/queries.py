@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,40 @@ where t.max_repeats * coalesce(s.size, 0) < t.target_share * t.total_chars
 """
 
 
+# Compatibility characters of one letter, from the Latin-1 and the full-width block; DuckDB's functions leave them whole.
+_WIDE = [chr(c) for c in [*range(0xA0, 0x100), *range(0xFF01, 0xFF5F)] if len(unicodedata.normalize("NFKD", chr(c))) == 1 and unicodedata.normalize("NFKD", chr(c)) != chr(c)]
+_PLAIN = [unicodedata.normalize("NFKD", c).replace("'", "''") for c in _WIDE]
+
+
+def words_sql(text: str) -> str:
+    """The words of a text by DuckDB's functions."""
+    plain = f"translate({text}, '{''.join(_WIDE)}', '{''.join(_PLAIN)}')"
+    return rf"regexp_extract_all(lower(regexp_replace(strip_accents({plain}), '[\p{{Mn}}\p{{Cf}}]+', '', 'g')), '[\p{{L}}\p{{N}}]+')"
+
+
+_RUNS = """
+one as (select rec_id, any_value(text) as text, any_value(split) as split from corpus_records where text is not null group by rec_id),
+w as (select rec_id, split, {words} as w from one),
+r as (select rec_id, split, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) as s from w),
+f as (select *, len(s) as n from r where len(s) >= 20),
+u as (select rec_id, split, n, unnest(s) as run from f),
+near as (select a.rec_id as a, b.rec_id as b, any_value(a.split) as sa, any_value(b.split) as sb from u a join u b on a.run = b.run and a.rec_id < b.rec_id
+group by 1, 2 having count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)))""".replace("{words}", words_sql("text"))
+
+P3_FOUND_SQL = f"""with {_RUNS}
+select a as rec_id_a, b as rec_id_b from near where (sa = 'train' and sb in ('validation', 'test')) or (sb = 'train' and sa in ('validation', 'test'))"""
+
+P4_FOUND_SQL = f"""with recursive {_RUNS},
+e as (select a, b from near union all select b, a from near),
+c(id, g) as (select distinct a, a from e union select e.b, c.g from c join e on e.a = c.id where c.g < e.b)
+select min(g) as group_id, id as rec_id from c group by id"""
+
+P7_FOUND_SQL = f"""with d as (select doc_id, {words_sql("text")} as w from documents where text is not null),
+i as (select item_id, {words_sql("text_a")} as w from eval_items where text_a is not null union all select item_id, {words_sql("text_b")} from eval_items where text_b is not null),
+g as (select distinct item_id, array_to_string(w[k:k + 9], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 8)) as k from i))
+select distinct doc_id, item_id from (select doc_id, array_to_string(w[k:k + 9], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 8)) as k from d)) x join g using (g)"""
+
+
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
     return prose.not_prose(table(spark, d, "corpus_records"), table(spark, d, "source_catalog"))
 
@@ -87,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND_SQL}
+    return {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
