@@ -1,25 +1,28 @@
 """Online sequence packing: greedy best fit over a bounded buffer, masking on packed batches, no-wrap concatenation.
 
 These are sequential by nature. Parallelism comes from shards: each shard (rank) packs its
-own stream, its rows brought together and ordered by the shuffle. A shard is one reader's
-share of the corpus, so its size is chosen by the number of shards.
+own stream, ordered by the shuffle and read as a stream, so a task holds the packer's
+buffer and one batch whatever the size of the shard. The number of shards is the reader's choice.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-PACKED = "batch bigint, pseq int, input_ids array<bigint>, labels array<bigint>, cu_seqlens array<int>, max_seqlen int, attention_mask array<int>"
+_LONGS, _INTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+_KINDS = {"batch": T.LongType(), "pseq": T.IntegerType(), "input_ids": _LONGS, "labels": _LONGS, "cu_seqlens": _INTS, "max_seqlen": T.IntegerType(), "attention_mask": _INTS}
+PACKED = [T.StructField(name, kind) for name, kind in _KINDS.items()]
 
 
 @dataclass(frozen=True)
@@ -135,39 +138,51 @@ def _rows(number: int, content: list[list[np.ndarray]], config: PackConfig, rng:
     ]
 
 
+def _by_shard(df: DataFrame, shard: str, key: str, ids: str, run: Callable[[Iterator], Iterator[tuple]], fields: list[T.StructField], chunk: int = 256) -> DataFrame:
+    """shard and fields: run over each shard's sequences (lists) in order of key.
+
+    Rows are partitioned by shard and sorted in the shuffle; a task walks its shards one
+    after the other and holds what run holds, never a whole shard.
+    """
+    schema = T.StructType([df.schema[shard], *fields])
+    target = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, part in groupby(rows(batches), key=itemgetter(0)):
+            found = ((name, *row) for row in run(x or [] for _, x in part))
+            while block := list(islice(found, chunk)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*block), target)], schema=target)
+
+    return df.select(shard, key, ids).repartition(F.col(shard)).sortWithinPartitions(shard, key).select(shard, ids).mapInArrow(go, schema)
+
+
 def pack_best_fit(df: DataFrame, shard: str, key: str, ids: str, config: PackConfig, epoch: int = 0) -> DataFrame:
     """Packed batches of each shard's sequences in order of key; null sequences count as empty. Runs one packer a shard."""
-    kind = df.schema[shard].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        sequences = (np.asarray(x if x is not None else [], np.int64) for x in pdf[ids])
-        rows = [r for batch in pack_stream(sequences, config, epoch) for r in batch]
-        names = ["batch", "pseq", "input_ids", "labels", "cu_seqlens", "max_seqlen", "attention_mask"]
-        out = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
-        out.insert(0, shard, pdf[shard].iloc[0])
-        return out
+    def run(sequences: Iterator[list]) -> Iterator[tuple]:
+        for batch in pack_stream((np.asarray(x, np.int64) for x in sequences), config, epoch):
+            for r in batch:
+                yield tuple(r[f.name] for f in PACKED)
 
-    return df.select(shard, key, ids).groupBy(shard).applyInPandas(one, f"{shard} {kind}, {PACKED}")
+    return _by_shard(df, shard, key, ids, run, PACKED)
 
 
 def concat_nowrap(df: DataFrame, shard: str, key: str, ids: str, length: int) -> DataFrame:
     """shard, chunk, input_ids: sequences gathered until length is reached; the first length tokens are kept, the rest of the buffer discarded."""
-    schema = T.StructType([df.schema[shard], T.StructField("chunk", T.LongType()), T.StructField("input_ids", df.schema[ids].dataType)])
-    target = to_arrow_schema(schema)
 
-    def one(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(key)
-        chunks, buffer = [], []
-        for x in rows.column(ids).to_pylist():
-            buffer += x or []
+    def run(sequences: Iterator[list]) -> Iterator[tuple]:
+        number, buffer = 0, []
+        for x in sequences:
+            buffer += x
             if len(buffer) >= length:
-                chunks.append(buffer[:length])
-                buffer = []
-        columns = [[rows.column(shard)[0].as_py()] * len(chunks), list(range(len(chunks))), chunks]
-        return pa.table([pa.array(c, t.type) for c, t in zip(columns, target)], schema=target)
+                yield number, buffer[:length]
+                number, buffer = number + 1, []
 
-    return df.select(shard, key, ids).groupBy(shard).applyInArrow(one, schema)
+    return _by_shard(df, shard, key, ids, run, [T.StructField("chunk", T.LongType()), T.StructField("input_ids", df.schema[ids].dataType)])
 
 
 def split_packed(packed: DataFrame, rows_per_micro: int, tolerance: float = 1.0, pad: int = -1) -> DataFrame:

@@ -37,14 +37,17 @@ def padded_options(options: Column, n: int, filler: str = "NA") -> Column:
     return F.when(F.size(options) <= n, full).when(options.isNotNull(), F.raise_error(F.lit(f"more than {n} options")).cast("array<string>"))
 
 
-def multi_hot(df: DataFrame, labels: str, train: Column) -> DataFrame:
+def multi_hot(df: DataFrame, labels: str, train: Column, most_classes: int = 10_000) -> DataFrame:
     """df with multi_hot: a 1.0 for each class of the train rows (sorted) among the row's labels; other labels are ignored.
 
-    The class list is the set of different train labels, which the task bounds.
+    The class list comes to the driver; more than most_classes different train labels are an error.
     """
-    classes = df.where(train).select(F.explode(labels).alias("c")).where("c is not null").distinct().agg(F.sort_array(F.collect_list("c")).alias("__classes"))
-    hot = F.transform("__classes", lambda c: F.coalesce(F.array_contains(labels, c), F.lit(False)).cast("double"))
-    return df.join(F.broadcast(classes)).withColumn("multi_hot", hot).drop("__classes")  # one row joined to all
+    found = df.where(train).select(F.explode(labels).alias("c")).where("c is not null").distinct().limit(most_classes + 1).collect()
+    if len(found) > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
+    classes = sorted(r["c"] for r in found)
+    hot = F.transform(F.array(*map(F.lit, classes)), lambda c: F.coalesce(F.array_contains(labels, c), F.lit(False)).cast("double"))
+    return df.withColumn("multi_hot", hot if classes else F.array().cast("array<double>"))
 
 
 def key_values(text: Column, names: list[str], stop: str = "_") -> list[Column]:

@@ -293,7 +293,8 @@ def triplet_accuracy(spark, d):
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("pos"), F.min("vec_id").alias("first_id"))
     neg = first.select(F.col("label").alias("other"), F.col("pos").alias("neg"))
-    rows = e.join(F.broadcast(first), "label").where("vec_id <> first_id").withColumn("other", F.pmod(F.col("label") + 1, F.lit(10))).join(F.broadcast(neg), "other")
+    rows = lookup_join(e, first, "label", "inner").where("vec_id <> first_id").withColumn("other", F.pmod(F.col("label") + 1, F.lit(10)))
+    rows = lookup_join(rows, neg, "other", "inner")
     hit = (metrics.dot(F.col("embedding"), F.col("pos")) > metrics.dot(F.col("embedding"), F.col("neg"))).cast("double")
     return rows.groupBy("label").agg(F.count("*").alias("triplets"), F.round(F.avg(hit), 6).alias("accuracy"))
 
@@ -377,12 +378,12 @@ def collect_metrics(spark, d):
     return rollup.last_metric(single, ["job", "task"], F.col("metric")).withColumn("value", F.round("value", 6))
 
 
-@query("""with ids as (select label as kd_id, list(vec_id order by vec_id) as ids from embeddings where vec_id % 25 = 0 group by label)
+@query("""with ids as (select label as kd_id, list(vec_id order by vec_id) as ids from embeddings group by label)
 select kd_id, list(sha256(coalesce(text, '')) order by i) as texts from (select kd_id, ids[i] + 1 as doc_id, i from (select *, unnest(range(1, len(ids) + 1)) as i from ids)) join documents using (doc_id) group by kd_id""")
 def kd_lookup(spark, d):
     """Lists of document ids resolved to their texts, in the lists' order."""
-    groups = table(spark, d, "embeddings").where("vec_id % 25 = 0").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # the ids of one training row
+    groups = table(spark, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # the ids of one training row
     flat = groups.select(F.col("label").alias("kd_id"), F.posexplode("ids").alias("i", "v")).select("kd_id", "i", (F.col("v") + 1).alias("doc_id"))
     texts = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
-    found = texts.join(F.broadcast(flat), "doc_id")
+    found = lookup_join(texts, flat, "doc_id", "inner")
     return found.groupBy("kd_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("texts"))
