@@ -56,6 +56,38 @@ g as (select distinct item_id, array_to_string(w[k:k + 9], ' ') as g from (selec
 select distinct doc_id, item_id from (select doc_id, array_to_string(w[k:k + 9], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 8)) as k from d)) x join g using (g)"""
 
 
+_COMMON = "(" + ", ".join(f"'{w}'" for w in sorted(prose.COMMON_WORDS)) + ")"
+_MARKS = " + ".join(f"(length(text) - length(replace(text, '{m}', ''))) / {len(m)}" for m in prose.SEPARATORS)
+
+
+def measures_sql(key: str, rows: str) -> str:
+    """Tables m (the statistics of rows(key, text, kind) that flag junk) and j (key, junk) after the rules of prose, by exact quantiles."""
+    return f"""t as (select {key}, text, kind, {words_sql("text")} as w from {rows} where text is not null and trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) <> ''),
+x as (select {key}, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from t),
+y as (select {key}, w, length(w) as size, bool_or(w in {_COMMON}) over (near rows between {prose.REACH} preceding and {prose.REACH} following) as near,
+  w || ' ' || lead(w, 1) over near || ' ' || lead(w, 2) over near as run from x window near as (partition by {key} order by i)),
+z as (select {key}, count(*) as n, avg(near::INT) as near, count(run) as all_runs, count(distinct run) as runs, sum(size) as size,
+  coalesce(sum(size) filter (size > 1 and regexp_matches(w, '[0-9][a-z]|[a-z][0-9]|.{{26}}')), 0) as odd, count(*) filter (size >= 9 or (size >= 7 and regexp_matches(w, '^[א-ת]'))) as long_words,
+  count(*) filter (regexp_matches(w, '^[א-ת]')) as he, count(*) filter (regexp_matches(w, '^[a-z]')) as en from y group by {key}),
+m as (select t.{key}, text, coalesce(n, 0) as n, coalesce(near, 0) as near, case when all_runs > 0 then runs / all_runs::DOUBLE else 1 end as runs, coalesce(odd / size::DOUBLE, 0) as odd,
+  ({_MARKS}) / greatest(coalesce(n, 0), 1)::DOUBLE as marks, coalesce(long_words, 0) as long_words, (length(text) - length(translate(text, '{prose.SYMBOLS}', ''))) / greatest(length(text), 1)::DOUBLE as symbols,
+  coalesce(kind, case when coalesce(he + en, 0) = 0 then 'other' when he >= en then 'he' else 'en' end) as lang from t left join z on z.{key} = t.{key}),
+q as (select lang, quantile_cont(near, [0.5, 0.9]) as near, quantile_cont(runs, [0.5, 0.9]) as runs, quantile_cont(odd, [0.1, 0.5]) as odd, quantile_cont(marks, [0.1, 0.5]) as marks from
+  (select lang, near, runs, odd, marks from m where lang in ('he', 'en', 'code') union all select 'other', near, runs, odd, marks from m where lang in ('he', 'en')) group by lang),
+j as (select m.{key}, m.lang, (m.near - q.near[1]) / greatest((q.near[2] - q.near[1]) / 1.2816, 0.05) < -10 or (m.runs - q.runs[1]) / greatest((q.runs[2] - q.runs[1]) / 1.2816, 0.05) < -10
+  or (m.odd - q.odd[2]) / greatest((q.odd[2] - q.odd[1]) / 1.2816, 0.02) > 10 or (m.marks - q.marks[2]) / greatest((q.marks[2] - q.marks[1]) / 1.2816, 0.02) > 10 as junk from m left join q using (lang))"""
+
+
+P1_FOUND_SQL = f"""with families as (select distinct split_part({canonical_source_sql("source_name")}, '_', 1) as family from source_catalog where lang = 'code'),
+one as (select rec_id, any_value(text) as text, case when any_value(split_part({canonical_source_sql("_source")}, '_', 1)) in (select family from families) then 'code' end as kind from corpus_records group by rec_id),
+{measures_sql("rec_id", "one")}
+select rec_id from j where junk and lang <> 'code'"""
+
+_SENTENCES = r"""len(list_filter(string_split(regexp_replace(text, '[.!?]+([\s\p{Z}"''”“’‘״׳»«)]|$)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '[\p{L}\p{N}]')))"""
+P8_FOUND_SQL = f"""with docs as (select doc_id, text, null::VARCHAR as kind from documents), {measures_sql("doc_id", "docs")}
+select doc_id from m join j using (doc_id) where not junk and symbols < 0.02 and n >= 20 * {_SENTENCES} and {_SENTENCES} > 0 and long_words >= 0.25 * n"""
+
+
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
     return prose.not_prose(table(spark, d, "corpus_records"), table(spark, d, "source_catalog"))
 
@@ -122,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
