@@ -100,6 +100,25 @@ def test_partial_last_batch_is_kept_on_request():
     assert kept == sorted(x for s in SEQUENCES for x in s)
 
 
+@pytest.mark.parametrize("drop_last", [False, True])
+def test_no_token_of_overlong_sequences_is_lost(drop_last):
+    c = PackConfig(source_batch=16, bins=8, width=10, buffer_size=128, masking=False, drop_last=drop_last)
+    sequences = np.split(np.arange(150 * 25 + 400 * 3), [*range(25, 150 * 25 + 1, 25), *range(150 * 25 + 3, 150 * 25 + 400 * 3, 3)])
+    batches = list(pack_stream(iter(sequences), c))
+    got = sorted(x for b in batches for r in b for x in r["input_ids"] if x >= 0)
+    if drop_last:  # only the batch at the end may be lost
+        assert all(len(b) == c.bins for b in batches) and 0 <= 4950 - len(got) < c.bins * c.width
+    else:
+        assert got == list(range(4950))
+    parts = [len(x) for b in batches for r in b for x in np.split(r["input_ids"], r["cu_seqlens"][1:-1]) if x[0] >= 0]
+    assert max(parts) == c.width
+
+
+def test_buffer_that_reads_nothing_is_refused():
+    with pytest.raises(ValueError):
+        next(pack_stream(iter(SEQUENCES), PackConfig(source_batch=5, bins=5, width=15, buffer_size=5)))
+
+
 @pytest.mark.parametrize("rate", [0.1, 0.15, 0.3, 0.5])
 def test_masking_statistics(rate):
     ids = np.arange(100_000)

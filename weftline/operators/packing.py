@@ -80,16 +80,23 @@ class _Intake:
         return added > 0
 
 
+def _pieces(sequences: Iterator[np.ndarray], width: int) -> Iterator[np.ndarray]:
+    for s in sequences:
+        yield from (s[i : i + width] for i in range(0, max(len(s), 1), width))
+
+
 def pack_stream(sequences: Iterator[np.ndarray], config: PackConfig, epoch: int = 0) -> Iterator[list[dict]]:
     """Packed batches, each a list of rows.
 
-    Each sequence goes into the bin with the least room that still holds it (the first of
-    equals). What fits nowhere waits, the latest first, for the next batch. A batch in which a bin stays
-    empty ends the stream: it is dropped, or with drop_last=False emitted with its
-    non-empty bins; a sequence longer than a bin never fits and is dropped with it.
+    A sequence longer than a bin comes as pieces of the bin's width and a rest. Each goes into
+    the bin with the least room that still holds it (the first of equals). What fits nowhere
+    waits, the latest first, for the next batch; so a bin stays empty only where the stream is at its
+    end. That batch is dropped, or with drop_last=False emitted with its non-empty bins.
     """
+    if config.buffer_size <= config.source_batch:
+        raise ValueError("buffer_size is more than source_batch: else nothing would be read")
     rng = np.random.default_rng(epoch + config.seed)
-    intake = _Intake(iter(sequences), config)
+    intake = _Intake(_pieces(sequences, config.width), config)
     number = 0
     while True:
         room = np.full(config.bins, config.width)
@@ -108,10 +115,6 @@ def pack_stream(sequences: Iterator[np.ndarray], config: PackConfig, epoch: int
         if not all(content):
             if not config.drop_last and any(content):
                 yield _rows(number, [c for c in content if c], config, rng)
-                intake.buffer = deque(s for s in intake.buffer if len(s) <= config.width)
-                if intake.buffer:
-                    number += 1
-                    continue
             return
         yield _rows(number, content, config, rng)
         number += 1
@@ -161,7 +164,7 @@ def _by_shard(df: DataFrame, shard: str, key: str, ids: str, run: Callable[[Iter
 
 
 def pack_best_fit(df: DataFrame, shard: str, key: str, ids: str, config: PackConfig, epoch: int = 0) -> DataFrame:
-    """Packed batches of each shard's sequences in order of key; null sequences count as empty. Runs one packer a shard."""
+    """Packed batches of each shard's sequences in order of key; null sequences count as empty, over-long ones come in pieces. Runs one packer a shard."""
 
     def run(sequences: Iterator[list]) -> Iterator[tuple]:
         for batch in pack_stream((np.asarray(x, np.int64) for x in sequences), config, epoch):
