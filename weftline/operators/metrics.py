@@ -156,12 +156,57 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score: for each candidate pair, the sum over the query's vectors of the best dot product with the document's.
+def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, pairs: DataFrame | None = None, block_bytes: int = BROADCAST_BYTES, most_held: int = 4 << 20) -> DataFrame:
+    """query_id, doc_id, score: the sum over the query's vectors of the best dot product with the document's.
 
-    pairs names the pairs to score (all, for an exact search over a stated query set).
+    pairs names the pairs to score; without it every query is scored against every document.
+    The query's vectors are held against all document rows in blocks of at most block_bytes.
+    A task keeps the best of each query vector and document, at most most_held numbers at
+    once, so no document is gathered in one place. Null ids and vectors take no part.
     """
-    q = query_tokens.groupBy("query_id").agg(F.collect_list("vector").alias("qs"))  # the tokens of one query
-    d = doc_tokens.groupBy("doc_id").agg(F.collect_list("vector").alias("ds"))  # the tokens of one document
-    best = F.transform("qs", lambda a: F.array_max(F.transform("ds", lambda b: dot(a, b))))
-    return pairs.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", F.aggregate(best, F.lit(0.0), lambda s, x: s + x).alias("score"))
+    spark = doc_tokens.sparkSession
+    schema = T.StructType([query_tokens.schema["query_id"], T.StructField("token", T.LongType()), doc_tokens.schema["doc_id"], T.StructField("best", T.DoubleType())])
+    target = to_arrow_schema(schema)
+    queries = query_tokens.where("query_id is not null and vector is not null").select("query_id", "vector")
+    docs = doc_tokens.where("doc_id is not null and vector is not null").select("doc_id", "vector")
+    blocks = max(1, -(-byte_size(queries.select("query_id", F.to_json(F.struct("vector")).alias("v"))) // block_bytes))
+    found, first = None, 0
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((first, [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+        first += len(rows)
+
+        def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            start, ids, matrix = shared.value
+            n, best = len(ids), {}
+            fixed = [pa.array(ids, target.field(0).type), pa.array(np.arange(start, start + n))]
+
+            def held() -> Iterator[pa.RecordBatch]:
+                for doc, top in best.items():
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array([doc] * n, target.field(2).type), pa.array(top)], schema=target)
+                best.clear()
+
+            step = max(1, most_held // n)
+            for batch in batches:
+                for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                    docs = part.column(0).dictionary_encode()
+                    values = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    codes = docs.indices.to_numpy()
+                    order = np.argsort(codes, kind="stable")
+                    names, begins = np.unique(codes[order], return_index=True)
+                    tops = np.maximum.reduceat(matrix @ values[order].T, begins, axis=1)
+                    for k, doc in enumerate(docs.dictionary.take(pa.array(names)).to_pylist()):
+                        best[doc] = np.maximum(best[doc], tops[:, k]) if doc in best else tops[:, k].copy()
+                    if len(best) * n > most_held:
+                        yield from held()
+            yield from held()
+
+        part = docs.mapInArrow(go, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    tops = found.groupBy("query_id", "token", "doc_id").agg(F.max("best").alias("best"))
+    scores = tops.groupBy("query_id", "doc_id").agg(F.sum("best").alias("score"))
+    return scores if pairs is None else pairs.join(scores, ["query_id", "doc_id"])

@@ -323,6 +323,16 @@ def maxsim_exact(spark, d):
     return metrics.maxsim(q, docs, pairs).withColumn("score", F.round("score", 6))
 
 
+@query("""with t as (select (vec_id // 20) * 20 as query_id, vec_id, label as doc_id, embedding::DOUBLE[] as e from embeddings),
+s as (select a.query_id, a.vec_id, b.doc_id, max(list_inner_product(a.e, b.e)) as best from t a, t b group by 1, 2, 3)
+select query_id, doc_id, round(sum(best), 6) as score from s group by 1, 2""")
+def maxsim_all(spark, d):
+    """The queries of maxsim_exact against every label, each row being a token vector of its label."""
+    e = table(spark, d, "embeddings")
+    q = e.select(F.expr("vec_id div 20 * 20").alias("query_id"), F.col("embedding").alias("vector"))
+    return metrics.maxsim(q, e.select(F.col("label").alias("doc_id"), F.col("embedding").alias("vector"))).withColumn("score", F.round("score", 6))
+
+
 # --- rollups over runs ---
 
 
