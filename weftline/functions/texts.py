@@ -18,10 +18,11 @@ def tokens_sql(text: str) -> str:
     return rf"list_filter(string_split_regex({text}, '[ \t\n\r\f]+'), lambda t: t <> '')"
 
 
-def clean(text: Column, most_chars: int = 20_000) -> Column:
-    """Line breaks to blanks, outer white space off, cut to most_chars; null where nothing is left."""
+def clean(text: Column, most_chars: int | None = None) -> Column:
+    """Line breaks to blanks, outer white space off, cut to most_chars if given; null where nothing is left."""
     flat = F.btrim(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" ")), F.lit(" \t\f"))
-    return F.substring(F.nullif(flat, F.lit("")), 1, most_chars)
+    some = F.nullif(flat, F.lit(""))
+    return some if most_chars is None else F.substring(some, 1, most_chars)
 
 
 def clean_sql(text: str, most_chars: int = 20_000) -> str:

@@ -61,7 +61,7 @@ def nonempty(spark, d):
 
 @query(f"select doc_id, sha256({clean_sql('text')}) as digest, length({clean_sql('text')}) as n from documents where {clean_sql('text')} is not null")
 def clean_text(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", clean(F.col("text")).alias("t")).where("t is not null")
+    rows = table(spark, d, "documents").select("doc_id", clean(F.col("text"), 20_000).alias("t")).where("t is not null")
     return rows.select("doc_id", F.sha2("t", 256).alias("digest"), F.char_length("t").cast("long").alias("n"))
 
 
