@@ -56,6 +56,13 @@ def test_chunks(spark):
     assert seq.concat_chunks(df.limit(0), "k", "ids", 4).count() == 0
 
 
+def test_chunks_keep_null_groups_and_a_null_key(spark):
+    rows = [(None, 1, [1, 2, 3]), (None, 2, [4, 5]), ("x", 1, [6, 7]), ("x", None, [8, 9]), (None, 3, [10, 11, 12]), ("x", 2, None)]
+    df = spark.createDataFrame(rows, "g string, k int, ids array<int>")
+    got = {(r["g"], r["chunk"]): r["input_ids"] for r in seq.concat_chunks(df, "k", "ids", 4, by=["g"]).collect()}
+    assert got == {(None, 0): [1, 2, 3, 4], (None, 1): [5, 10, 11, 12], ("x", 0): [8, 9, 6, 7]}
+
+
 def test_bounds_and_pairs(spark):
     ids = lambda *v: F.array(*map(F.lit, v)) if v else F.array().cast("array<int>")
     assert one(spark, seq.ensure_bounds(ids(5, 6), F.lit(1), F.lit(2), 4)) == [1, 5, 6, 2]

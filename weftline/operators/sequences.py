@@ -49,12 +49,15 @@ def concat_chunks(df: DataFrame, key: str, ids: str, length: int, by: list[str]
 
     The rest at the end is dropped; most_tokens > 0 keeps the chunks that begin before it.
     Each sequence is cut at chunk borders as a whole, so rows are sequences plus chunks,
-    never single tokens. Null and empty sequences add nothing.
+    never single tokens. Null and empty sequences add nothing; nulls in by are a group, a null key comes
+    first. Keys are unique within by.
     """
     by = by or []
     rows = df.where(F.size(ids) > 0).select(*by, key, F.col(ids).alias("__ids"), F.size(ids).cast("long").alias("__n"))
     lengths = running_total(rows.select(*by, key, "__n"), key, F.col("__n"), "__end", by=by)
-    rows = rows.drop("__n").join(lengths, [*by, key]).withColumn("__start", F.col("__end") - F.col("__n"))
+    lengths = lengths.select(*[F.col(c).alias(f"__l_{c}") for c in [*by, key]], "__end")
+    same = [F.col(c).eqNullSafe(F.col(f"__l_{c}")) for c in [*by, key]]
+    rows = rows.join(lengths, same).withColumn("__start", F.col("__end") - F.col("__n"))
     whole = F.lit(length)
     touched = F.sequence(F.floor(F.col("__start") / whole), F.floor((F.col("__end") - 1) / whole))
     parts = rows.select(*by, "__start", "__end", "__ids", F.explode(touched).alias("chunk"))

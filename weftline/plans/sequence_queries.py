@@ -68,6 +68,13 @@ def concat_chunk_bos_eos(spark, d):
     return seq.concat_chunks(docs, "doc_id", "t", 128, by=["lang"]).select("lang", "chunk", _digest(F.col("input_ids")))
 
 
+@query(_CHUNKS.format(by="lang", bos="<s>", eos="</s>", tok=TOK, n=128, sel="g as lang, "))
+def concat_chunk_bos_eos_all(spark, d):
+    """concat_chunk_bos_eos with the documents of null lang as a group of their own."""
+    docs = _docs(spark, d).withColumn("t", seq.with_specials(F.col("t"), F.lit("<s>"), F.lit("</s>")))
+    return seq.concat_chunks(docs, "doc_id", "t", 128, by=["lang"]).select("lang", "chunk", _digest(F.col("input_ids")))
+
+
 @query(f"""with recursive k as (select doc_id, lang, {TOK} as t, row_number() over (partition by lang order by doc_id) as r from documents where text is not null and lang is not null and len({TOK}) > 0),
 s(lang, r, buf, done) as (select lang, 0::BIGINT, []::VARCHAR[], null::VARCHAR[] from (select distinct lang from k)
 union all select s.lang, k.r, case when len(s.buf) + len(k.t) >= 1024 then [] else list_concat(s.buf, k.t) end, case when len(s.buf) + len(k.t) >= 1024 then list_concat(s.buf, k.t)[1:1024] end
@@ -77,6 +84,16 @@ def concat_nowrap(spark, d):
     return packing.concat_nowrap(_docs(spark, d).where("lang is not null"), "lang", "doc_id", "t", 1024).select("lang", "chunk", _digest(F.col("input_ids")))
 
 
+@query(f"""with recursive k as (select doc_id, lang, {TOK} as t, row_number() over (partition by lang order by doc_id) as r from documents where text is not null and len({TOK}) > 0),
+s(lang, r, buf, done) as (select lang, 0::BIGINT, []::VARCHAR[], null::VARCHAR[] from (select distinct lang from k)
+union all select s.lang, k.r, case when len(s.buf) + len(k.t) >= 1024 then [] else list_concat(s.buf, k.t) end, case when len(s.buf) + len(k.t) >= 1024 then list_concat(s.buf, k.t)[1:1024] end
+from s join k on k.lang is not distinct from s.lang and k.r = s.r + 1)
+select lang, row_number() over (partition by lang order by r) - 1 as chunk, md5(array_to_string(done, ' ')) as digest from s where done is not null""")
+def concat_nowrap_all(spark, d):
+    """concat_nowrap with the documents of null lang as a group of their own."""
+    return packing.concat_nowrap(_docs(spark, d), "lang", "doc_id", "t", 1024).select("lang", "chunk", _digest(F.col("input_ids")))
+
+
 def _id_docs(spark, d):
     ids = F.transform("t", lambda w: F.char_length(w).cast("long") + 5)
     return _docs(spark, d).select((F.pmod("doc_id", F.lit(8))).cast("int").alias("rank"), "doc_id", ids.alias("ids"))
