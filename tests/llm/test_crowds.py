@@ -73,6 +73,13 @@ def test_crowded_overlap(spark, crowd, near):
     assert got == expected
 
 
+def test_overlap_of_texts_that_share_no_block(spark, crowd, near, monkeypatch):
+    side = {i: s for i, _, s in crowd}
+    monkeypatch.setattr(overlap, "blocks", lambda: overlap.F.array(overlap.F.hash("id")))
+    got = {tuple(x) for x in overlap.found(spark.createDataFrame(crowd, SCHEMA)).collect()}
+    assert got == {(a, b) for a, b in near if side[a] != side[b]}
+
+
 def test_prefixes_meet_every_near_pair(spark, crowd, near):
     sets = spark.createDataFrame([(i, sorted({hash(x) % (1 << 31) for x in zip(w, w[1:], w[2:])})) for i, w in ((i, words(t)) for i, t, _ in crowd)], "id bigint, runs array<int>")
     ids = sets.select("id")

@@ -2,9 +2,10 @@
 
 A text's fingerprint is a 256-bit similarity hash of its different words. TABLES blocks of
 BLOCK permuted bit positions are joined between the train and the evaluation side; pairs
-within the Hamming radius are candidates, and the exact share of common three-word runs
-decides. Texts with equal run sets are collapsed to one representative first, so copies
-never meet each other in the block joins.
+within the Hamming radius are candidates, as are texts that share one of their rarest runs
+(which leaves no near-same pair out); the exact share of common three-word runs decides.
+Texts with equal run sets are collapsed to one representative first, so copies never meet
+each other in the block joins.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from pyspark.sql import types as T
 
 from ..functions.names import canonical_source
 from ..plans.shared import materialise
-from .similar import THRESHOLD, crowded, ends, fetched, prefix_pairs, run_sets, verified
+from .similar import THRESHOLD, crowded, fetched, prefix_pairs, run_sets, verified
 from .textnorm import Batch, mix64
 
 BITS = 256
 TABLES, BLOCK = 56, 16  # a pair whose fingerprints differ in a share p of the bits meets with 1 - (1 - (1 - p)^BLOCK)^TABLES
-MOST_TOGETHER = 4096  # texts of a block whose fingerprints are all compared; those of larger blocks meet by their rarest runs
-RADIUS = 40  # of the first 128 bits; texts at the threshold differ in about 26, unrelated ones in about 62
+MOST_TOGETHER = 4096  # texts of a block whose fingerprints are all compared
+RADIUS = 40  # of the first 128 bits; unrelated texts differ in about 62
 
 LANES = [f"f{k}" for k in range(BITS // 64)]
 EXTRA = [T.StructField(f, T.LongType()) for f in LANES]
@@ -83,17 +84,15 @@ def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD, most_togethe
         return rows.select(F.explode(blocks()).alias("block"), *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "f0", "f1")])
 
     distance = F.bit_count(F.col("f0_e").bitwiseXOR(F.col("f0_t"))) + F.bit_count(F.col("f1_e").bitwiseXOR(F.col("f1_t")))
-    # Blocks that too many texts share: their texts meet by their rarest runs instead, which finds every near-same pair.
+    # Blocks that too many texts share are left to the rarest runs.
     full = crowded(reps.select(F.explode(blocks()).alias("block"), "id"), "block", "id", most_together)
     met = side(True, "e").join(full, "block", "left_anti").join(side(False, "t"), "block").where(distance <= RADIUS)
     met = materialise(met.select(F.col("id_e").alias("a"), F.col("id_t").alias("b")).distinct(), "met")
-    crowd = materialise(reps.select("is_eval", "id", F.explode(blocks()).alias("block")).join(full, "block", "left_semi").select("is_eval", "id").distinct(), "crowd")
-    runs = fetched(sets.withColumnRenamed("rec_id", "id"), ends(met).unionByName(crowd.select("id")))
-    if not full.isEmpty():
-        evals, trains = (crowd.where(F.col("is_eval") == F.lit(flag)).select("id") for flag in (True, False))
-        # Texts with equal runs on both sides meet whatever their blocks.
-        equal = reps.where("is_eval").select("set_key", F.col("id").alias("a")).join(reps.where("not is_eval").select("set_key", F.col("id").alias("b")), "set_key").select("a", "b")
-        met = met.unionByName(prefix_pairs(runs, evals, trains, threshold)).unionByName(equal.join(crowd.select(F.col("id").alias("a")), "a", "left_semi")).distinct()
+    # Blocks may miss a pair, so all texts meet by their rarest runs too, which leaves none out. Equal sets meet by their key.
+    evals, trains = (reps.where(F.col("is_eval") == F.lit(flag)).select("set_key", "id") for flag in (True, False))
+    runs = fetched(sets.withColumnRenamed("rec_id", "id"), reps.select("id"))
+    equal = evals.select("set_key", F.col("id").alias("a")).join(trains.select("set_key", F.col("id").alias("b")), "set_key").select("a", "b")
+    met = met.unionByName(prefix_pairs(runs, evals.select("id"), trains.select("id"), threshold)).unionByName(equal).distinct()
     near = verified(met, runs, threshold)
     keys = {flag: reps.where(F.col("is_eval") == F.lit(flag)).select(F.col("id").alias(i), F.col("set_key").alias(k)) for flag, i, k in ((True, "a", "key_e"), (False, "b", "key_t"))}
     linked = near.join(keys[True], "a").join(keys[False], "b").select("key_e", "key_t", "similarity")
