@@ -61,6 +61,20 @@ def byte_size(df: DataFrame, column: str | None = None) -> int:
     return int(df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("b")).first()["b"])
 
 
+def partitions_for(df: DataFrame, bytes_per_row: int, per_task: int = 32 << 20) -> int:
+    """Shuffle partitions for rows of df that take bytes_per_row each, so that a task's share stays the same at any size.
+
+    df is a materialised table: its rows are counted from the file footers.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(least, -(-df.count() * bytes_per_row // per_task))
+
+
+def shuffle_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that is never broadcast: for sides whose size Spark cannot estimate, such as exploded rows."""
+    return left.join(right.hint("merge"), on=on, how=how)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join a small side: broadcast it when its measured size is below limit, else a shuffled join."""
     return left.join(F.broadcast(right) if byte_size(right) <= limit else right, on=on, how=how)
