@@ -76,7 +76,7 @@ def test_crowded_overlap(spark, crowd, near):
 def test_overlap_of_texts_that_share_no_block(spark, crowd, near, monkeypatch):
     side = {i: s for i, _, s in crowd}
     monkeypatch.setattr(overlap, "blocks", lambda: overlap.F.array(overlap.F.hash("id")))
-    got = {tuple(x) for x in overlap.found(spark.createDataFrame(crowd, SCHEMA)).collect()}
+    got = {tuple(x) for x in overlap.found(spark.createDataFrame(crowd, SCHEMA), exhaustive=True).collect()}
     assert got == {(a, b) for a, b in near if side[a] != side[b]}
 
 

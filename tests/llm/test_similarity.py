@@ -106,14 +106,56 @@ def test_circulant_signature_estimates_similarity():
         assert sig[0][7] == neardup.pi(neardup.sigma(a) + np.uint64(7)).min()
 
 
-def test_set_keys_and_fingerprints_ignore_order():
+def test_set_keys_and_fingerprints_are_those_of_the_runs():
     h = WordHashes()
     batch = Batch(["a b c d e", "c d e x a b c d e"[10:] + "", "e d c b a", "a b c d e"], h)
     values, offsets = batch.distinct_runs(3)
     keys = set_key(values, offsets)
     assert keys[0] == keys[3] and keys[0] != keys[2]
     bits = overlap.fingerprints(batch)
-    assert (bits[0] == bits[2]).all() and bits.shape == (4, overlap.BITS)
+    assert (bits[0] == bits[3]).all() and (bits[0] != bits[2]).any() and bits.shape == (4, overlap.BITS)
+
+
+def test_fingerprints_meet_as_often_as_stated():
+    """Pairs of similarity 0.62: segments agree with s^3, bits differ with (1 - s) / 2."""
+    rng, met, apart = np.random.default_rng(8), 0, []
+    for _ in range(150):
+        base = rng.integers(0, 2**63, 123, dtype=np.uint64)
+        values, offsets = np.concatenate([np.sort(base[:100]), np.sort(base[23:])]), np.array([0, 100, 200])
+        extra = [x.to_numpy() for x in overlap._extra_of(None, values, offsets)]
+        packed, lanes = np.array(extra[: len(overlap.CODES)]).view(np.uint64), np.array(extra[len(overlap.CODES) :]).view(np.uint64)
+        segments = np.concatenate([packed & np.uint64(0xFFFFFFFF), packed >> np.uint64(32)])
+        met += int((segments[:, 0] == segments[:, 1]).sum())
+        apart.append(sum(int(x).bit_count() for x in lanes[:, 0] ^ lanes[:, 1]))
+    s = 77 / 123
+    assert abs(met / (150 * overlap.TABLES) - s**3) < 0.04
+    assert abs(np.mean(apart) - overlap.BITS * (1 - s) / 2) < 2 and max(apart) <= overlap.RADIUS
+
+
+@pytest.mark.parametrize("module, query", [(overlap, overlap.found), (overlap, overlap.report), (neardup, neardup.groups)])
+def test_no_exploded_side_is_broadcast(spark, records, monkeypatch, module, query):
+    plans, write = [], similar.materialise
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    for m in (module, similar):
+        monkeypatch.setattr(m, "materialise", kept)
+    last = query(spark.createDataFrame(records, SCHEMA))
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3
+    for plan in plans:
+        depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+        lines = plan.split("\n")
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = []
+                for x in lines[i + 1 :]:
+                    if depth(x) <= depth(line):
+                        break
+                    below.append(x)
+                assert not any("Generate" in x for x in below), plan
 
 
 def test_components_of_a_chain_and_a_star(spark):

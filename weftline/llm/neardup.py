@@ -2,8 +2,8 @@
 
 Two permutations give every signature coordinate: sigma scatters the runs over the ring of
 64-bit integers, pi is shifted circularly by k for coordinate k, and the coordinate is the
-least pi(sigma(x) + k) over the text's runs. Bands of ROWS coordinates are joined, a 64-bit
-sketch of one bit for each of 64 coordinates discards pairs far below the threshold inside
+least pi(sigma(x) + k) over the text's runs. Bands of ROWS coordinates are joined, a
+sketch of one bit for each coordinate discards pairs far below the threshold inside
 the join, and the exact share of common runs decides. Members of crowded bands are joined
 without comparing all of them with one another.
 """
@@ -16,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.shared import materialise
+from ..plans.shared import materialise, partitions_for, shuffle_join
 from .similar import THRESHOLD, components, crowded, ends, fetched, prefix_pairs, run_sets, verified
 from .textnorm import Batch, mix64
 
-BANDS, ROWS = 28, 4  # a pair of similarity s meets with 1 - (1 - s^ROWS)^BANDS: 0.996 at 0.65, 0.983 at 0.6
+BANDS, ROWS = 36, 3  # a pair of similarity s meets with 1 - (1 - s^ROWS)^BANDS: 0.99999 at 0.65, 0.9998 at 0.6
 MOST_TOGETHER = 1024  # members of a band whose sketches are all compared; larger bands go by pivot and rarest runs
-SKETCH_BITS = 64
-LEAST_AGREE = 42  # of the 64 sketch bits; at 0.6 similarity 51 agree on average, 42 lies 2.9 standard deviations below
+SKETCH_BITS = 128  # also the number of coordinates; the bands take the first BANDS * ROWS
+LEAST_AGREE = 80  # of the sketch bits; at 0.6 similarity 102.4 agree on average, 80 lies 4.9 standard deviations below
 
-EXTRA = [T.StructField("sketch", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
+SKETCH, KEYS = [f"f{k}" for k in range(SKETCH_BITS // 64)], [f"b{k}" for k in range(BANDS)]
+EXTRA = [T.StructField(f, T.LongType()) for f in SKETCH + KEYS]
 _SIGMA, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -53,34 +54,37 @@ def signature(values: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
 
 
 def _extra_of(batch: Batch, values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    sig = signature(values, offsets, BANDS * ROWS)
+    sig = signature(values, offsets, SKETCH_BITS)
     with np.errstate(over="ignore"):
         bands = np.zeros((len(sig), BANDS), np.uint64)
         for r in range(ROWS):
-            bands = mix64(bands * _STEP + sig[:, r::ROWS][:, :BANDS])
-        bands = mix64(bands + np.arange(BANDS, dtype=np.uint64))
-    bits = np.packbits(mix64(sig[:, :SKETCH_BITS]) & np.uint64(1), axis=1).astype(np.uint8) if len(sig) else np.zeros((0, 8), np.uint8)
-    sketch = np.ascontiguousarray(bits).view(">i8").astype(np.int64).ravel()
-    ends = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS)
-    return [pa.array(sketch), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel()))]
+            bands = mix64(bands * _STEP + sig[:, r : BANDS * ROWS : ROWS])
+        bands = mix64(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    sketch = np.packbits(mix64(sig) & np.uint64(1), axis=1).view(">i8").astype(np.int64)
+    return [pa.array(np.ascontiguousarray(x[:, k])) for x in (sketch, bands) for k in range(x.shape[1])]
 
 
 def links(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER) -> tuple[DataFrame, DataFrame]:
     """(members, edges): rec_id with its class (smallest rec_id with an equal run set), and verified links a < b of classes."""
     sets = materialise(run_sets(records.where("rec_id is not null"), ["rec_id"], EXTRA, _extra_of), "nearsets")
-    classes = sets.groupBy("set_key").agg(F.min("rec_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "classes")
-    members = sets.select("rec_id", "set_key").distinct().join(classes.select("set_key", "id"), "set_key").select("rec_id", "id")
-    rows = classes.select(F.explode("bands").alias("band"), "id", "sketch")
+    # Fixed-width columns only, combined before the shuffle: a text of many copies moves as one row a task.
+    classes = materialise(sets.groupBy("set_key").agg(F.min("rec_id").alias("id"), *[F.first(f).alias(f) for f in SKETCH + KEYS]), "classes")
+    members = shuffle_join(sets.select("rec_id", "set_key").distinct(), classes.select("set_key", "id"), "set_key").select("rec_id", "id")
+    rows = classes.select(F.explode(F.array(*KEYS)).alias("band"), "id", *SKETCH)
     full = crowded(rows, "band", "id", most_together)
-    cold = rows.join(full, "band", "left_anti")
-    agree = SKETCH_BITS - F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("r.sketch")))
-    met = cold.alias("l").join(cold.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (agree >= LEAST_AGREE))
+    crowds = not full.isEmpty()
+    rows = rows.repartition(partitions_for(classes, 32 * BANDS), "band")
+    cold = shuffle_join(rows, full, "band", "left_anti") if crowds else rows
+    agree = SKETCH_BITS - sum((F.bit_count(F.col(f"l.{f}").bitwiseXOR(F.col(f"r.{f}"))) for f in SKETCH), F.lit(0))
+    met = shuffle_join(cold.alias("l"), cold.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (agree >= LEAST_AGREE))
     met = materialise(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "met")
-    crowd = materialise(rows.join(full, "band", "left_semi").select("band", "id"), "crowd")
-    runs = fetched(sets.withColumnRenamed("rec_id", "id"), ends(met).unionByName(crowd.select("id")))
+    wanted = ends(met)
+    if crowds:
+        crowd = materialise(shuffle_join(rows, full, "band", "left_semi").select("band", "id"), "crowd")
+        wanted = wanted.unionByName(crowd.select("id"))
+    runs = fetched(sets.withColumnRenamed("rec_id", "id"), wanted)
     edges = verified(met, runs, threshold).select("a", "b")
-    if not full.isEmpty():
+    if crowds:
         edges = edges.unionByName(_crowded_links(crowd, runs, threshold))
     return members, edges
 
@@ -94,9 +98,9 @@ def _crowded_links(rows: DataFrame, runs: DataFrame, threshold: float) -> DataFr
     form that differ otherwise do not meet at all.
     """
     pivots = rows.groupBy("band").agg(F.min("id").alias("a"))
-    held = materialise(rows.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "held")
+    held = materialise(shuffle_join(rows, pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "held")
     reached = materialise(verified(held, runs, threshold).select("a", "b"), "reached")
-    others = held.join(reached, ["a", "b"], "left_anti").select(F.col("b").alias("id"))
+    others = shuffle_join(held, reached, ["a", "b"], "left_anti").select(F.col("b").alias("id"))
     met = prefix_pairs(runs, others, rows.select("id"), threshold)
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return reached.unionByName(verified(met, runs, threshold).select("a", "b"))
@@ -111,7 +115,7 @@ def groups(records: DataFrame, threshold: float = THRESHOLD, most_together: int
     """
     members, edges = links(records, threshold, most_together)
     found = components(edges.select("a", "b"))
-    placed = members.join(found, "id", "left").select("rec_id", F.coalesce("component", "id").alias("group_id"))
+    placed = shuffle_join(members, found, "id", "left").select("rec_id", F.coalesce("component", "id").alias("group_id"))
     placed = materialise(placed, "placed")
     large = placed.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return placed.join(large, "group_id").select("group_id", "rec_id")
+    return shuffle_join(placed, large, "group_id").select("group_id", "rec_id")

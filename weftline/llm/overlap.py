@@ -1,11 +1,12 @@
 """Problem 3: same or near-same records across splits, by similarity-hash bit fingerprints.
 
-A text's fingerprint is a 256-bit similarity hash of its different words. TABLES blocks of
-BLOCK permuted bit positions are joined between the train and the evaluation side; pairs
-within the Hamming radius are candidates, as are texts that share one of their rarest runs
-(which leaves no near-same pair out); the exact share of common three-word runs decides.
-Texts with equal run sets are collapsed to one representative first, so copies never meet
-each other in the block joins.
+A text's fingerprint has TABLES segments of code, each of ROWS minwise coordinates of its
+three-word runs cut to BITS_EACH bits, and RADIUS_BITS more bits, one of each coordinate.
+Two texts of similarity s agree in a coordinate with probability s, so a segment is equal
+with s ** ROWS and a bit differs with (1 - s) / 2: what is lost is known beforehand and
+does not depend on the data. Segments are joined between the train and the evaluation
+side, pairs within the Hamming radius are candidates, and the exact share of common runs
+decides. Texts with equal run sets are collapsed to one representative on each side first.
 """
 
 from __future__ import annotations
@@ -17,47 +18,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import canonical_source
-from ..plans.shared import materialise
-from .similar import THRESHOLD, crowded, fetched, prefix_pairs, run_sets, verified
+from ..plans.shared import materialise, partitions_for, shuffle_join
+from .neardup import signature
+from .similar import RUN, THRESHOLD, crowded, ends, fetched, prefix_pairs, run_sets, verified
 from .textnorm import Batch, mix64
 
-BITS = 256
-TABLES, BLOCK = 56, 16  # a pair whose fingerprints differ in a share p of the bits meets with 1 - (1 - (1 - p)^BLOCK)^TABLES
-MOST_TOGETHER = 4096  # texts of a block whose fingerprints are all compared
-RADIUS = 40  # of the first 128 bits; unrelated texts differ in about 62
+TABLES, ROWS, BITS_EACH = 32, 3, 10  # a pair of similarity s meets with 1 - (1 - s^3)^32: 0.99997 at 0.65, 0.9996 at 0.6
+BITS = 128  # bits of the fingerprint that the radius is taken of
+RADIUS = 48  # at 0.6 similarity 25.6 bits differ on average, 48 lies 4.9 standard deviations above; unrelated texts differ in 64
+MOST_TOGETHER = 4096  # texts with one segment whose fingerprints are all compared; more share nearly all they have and go by their rarest runs
 
-LANES = [f"f{k}" for k in range(BITS // 64)]
-EXTRA = [T.StructField(f, T.LongType()) for f in LANES]
-_POSITIONS = np.random.default_rng(20).permuted(np.tile(np.arange(BITS), (TABLES, 1)), axis=1)[:, :BLOCK]
+CODES, LANES = [f"c{k}" for k in range(TABLES // 2)], [f"f{k}" for k in range(BITS // 64)]
+EXTRA = [T.StructField(f, T.LongType()) for f in CODES + LANES]
 
 
 def blocks() -> Column:
-    """The keys of a fingerprint's blocks: the bits at each table's permuted positions, hashed with the table's number."""
-    keys = []
-    for t, positions in enumerate(_POSITIONS):
-        masks = [sum(1 << 63 - int(p) % 64 for p in positions if p // 64 == lane) for lane in range(len(LANES))]
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        keys.append(F.hash(F.lit(t), *[F.col(f).bitwiseAND(F.lit(m).cast("long")) for f, m in zip(LANES, signed) if m]))
-    return F.array(*keys)
+    """The join keys of a fingerprint: each segment with the number of its table."""
+    half = [F.shiftright(F.col(CODES[t // 2]), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(t << 32) for t in range(TABLES)]
+    return F.array(*half)
+
+
+def codes(batch: Batch, size: int = BITS) -> np.ndarray:
+    """Minwise coordinates (texts x size) of the different runs of each text."""
+    return signature(*batch.distinct_runs(RUN), size)
 
 
 def fingerprints(batch: Batch) -> np.ndarray:
-    """A bit matrix (texts x BITS): bit j is set where most different words of the text have bit j set in their hash."""
-    values, offsets = batch.distinct_words()
-    n = np.diff(offsets)
-    bits = np.zeros((len(n), BITS), bool)
-    some = np.flatnonzero(n)
-    for lane in range(BITS // 64):
-        h = mix64(values + np.uint64(0x632BE59BD9B4E019 * (lane + 1) & 0xFFFFFFFFFFFFFFFF))
-        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(ones, offsets[:-1][some], axis=0, dtype=np.int32) if len(some) else np.zeros((0, 64), np.int32)
-        bits[some, lane * 64 : lane * 64 + 64] = sums * 2 > n[some, None]
-    return bits
+    """A bit matrix (texts x BITS): bit k is a hash bit of coordinate k."""
+    return _bits(codes(batch))
+
+
+def _bits(sig: np.ndarray) -> np.ndarray:
+    return (mix64(sig) >> np.uint64(40) & np.uint64(1)).astype(bool)
 
 
 def _extra_of(batch: Batch, values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    lanes = np.packbits(fingerprints(batch), axis=1).view(">i8").astype(np.int64)
-    return [pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(len(LANES))]
+    sig = signature(values, offsets, BITS)
+    part = sig[:, : TABLES * ROWS] & np.uint64((1 << BITS_EACH) - 1)
+    segment = np.zeros((len(sig), TABLES), np.uint64)
+    for r in range(ROWS):
+        segment = segment << np.uint64(BITS_EACH) | part[:, r::ROWS]
+    packed = (segment[:, 1::2] << np.uint64(32) | segment[:, ::2]).view(np.int64)
+    lanes = np.packbits(_bits(sig), axis=1).view(">i8").astype(np.int64)
+    return [pa.array(np.ascontiguousarray(x[:, k])) for x in (packed, lanes) for k in range(x.shape[1])]
 
 
 def split_sets(records: DataFrame) -> DataFrame:
@@ -67,7 +70,48 @@ def split_sets(records: DataFrame) -> DataFrame:
     return materialise(sets, "splitsets")
 
 
-def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER) -> DataFrame:
+def class_links(sets: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER, exhaustive: bool = False) -> DataFrame:
+    """key_e, key_t, similarity: near-same run sets, one of an evaluation record and one of a train record.
+
+    exhaustive also lets all texts meet by their rarest runs, which leaves out nothing at a
+    multiple of the cost.
+    """
+    # A representative of each set on each side; fixed-width columns only, combined before the shuffle.
+    reps = materialise(sets.groupBy("set_key", "is_eval").agg(F.min("rec_id").alias("id"), *[F.first(f).alias(f) for f in CODES + LANES]), "reps")
+    evals, trains = (reps.where(F.col("is_eval") == F.lit(flag)) for flag in (True, False))
+    parts = partitions_for(reps, 32 * TABLES)
+
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        out = rows.select(F.explode(blocks()).alias("block"), F.col("id").alias(f"id_{tag}"), *[F.col(f).alias(f"{f}_{tag}") for f in LANES])
+        return out.repartition(parts, "block")
+
+    distance = sum((F.bit_count(F.col(f"{f}_e").bitwiseXOR(F.col(f"{f}_t"))) for f in LANES), F.lit(0))
+    full = crowded(reps.select(F.explode(blocks()).alias("block"), "id"), "block", "id", most_together)
+    crowds = not full.isEmpty()
+    evals_of = side(evals, "e")
+    cold = shuffle_join(evals_of, full, "block", "left_anti") if crowds else evals_of
+    met = shuffle_join(side(trains, "t"), cold, "block").where(distance <= RADIUS).select(F.col("id_e").alias("a"), F.col("id_t").alias("b"))
+    # Equal sets meet by their key.
+    met = met.unionByName(shuffle_join(trains.select("set_key", F.col("id").alias("b")), evals.select("set_key", F.col("id").alias("a")), "set_key").select("a", "b"))
+    met = materialise(met.distinct(), "met")
+    wanted, left, right = ends(met), evals.select("id"), trains.select("id")
+    if crowds and not exhaustive:
+        left, right = (shuffle_join(side(x, t), full, "block", "left_semi").select(F.col(f"id_{t}").alias("id")).distinct() for x, t in ((evals, "e"), (trains, "t")))
+    if crowds or exhaustive:
+        wanted = wanted.unionByName(left).unionByName(right)
+    runs = fetched(sets.withColumnRenamed("rec_id", "id"), wanted)
+    if crowds or exhaustive:
+        met = met.unionByName(prefix_pairs(runs, left, right, threshold)).distinct()
+    keys = [x.select(F.col("id").alias(i), F.col("set_key").alias(k)) for x, i, k in ((evals, "a", "key_e"), (trains, "b", "key_t"))]
+    linked = shuffle_join(shuffle_join(verified(met, runs, threshold), keys[0], "a"), keys[1], "b")
+    return linked.select("key_e", "key_t", "similarity")
+
+
+def _members(sets: DataFrame, is_eval: bool, key: str, name: str) -> DataFrame:
+    return sets.where(F.col("is_eval") == F.lit(is_eval)).select(F.col("set_key").alias(key), F.col("rec_id").alias(name)).distinct()
+
+
+def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER, exhaustive: bool = False) -> DataFrame:
     """eval_id, train_id, similarity: every near-same pair of a train record and a validation or test record.
 
     records: rec_id, text, split; other columns are not read. Null ids, splits and texts,
@@ -75,45 +119,40 @@ def overlap_pairs(records: DataFrame, threshold: float = THRESHOLD, most_togethe
     repeated rows pair once. An empty side gives no pairs.
     """
     sets = split_sets(records)
-    members = sets.select("rec_id", "is_eval", "set_key").distinct()
-    # A representative of each set on each side; fixed-width columns only, combined before the shuffle.
-    reps = materialise(sets.groupBy("set_key", "is_eval").agg(F.min("rec_id").alias("id"), *[F.first(f).alias(f) for f in LANES]), "reps")
-
-    def side(flag: bool, tag: str) -> DataFrame:
-        rows = reps.where(F.col("is_eval") == F.lit(flag))
-        return rows.select(F.explode(blocks()).alias("block"), *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "f0", "f1")])
-
-    distance = F.bit_count(F.col("f0_e").bitwiseXOR(F.col("f0_t"))) + F.bit_count(F.col("f1_e").bitwiseXOR(F.col("f1_t")))
-    # Blocks that too many texts share are left to the rarest runs.
-    full = crowded(reps.select(F.explode(blocks()).alias("block"), "id"), "block", "id", most_together)
-    met = side(True, "e").join(full, "block", "left_anti").join(side(False, "t"), "block").where(distance <= RADIUS)
-    met = materialise(met.select(F.col("id_e").alias("a"), F.col("id_t").alias("b")).distinct(), "met")
-    # Blocks may miss a pair, so all texts meet by their rarest runs too, which leaves none out. Equal sets meet by their key.
-    evals, trains = (reps.where(F.col("is_eval") == F.lit(flag)).select("set_key", "id") for flag in (True, False))
-    runs = fetched(sets.withColumnRenamed("rec_id", "id"), reps.select("id"))
-    equal = evals.select("set_key", F.col("id").alias("a")).join(trains.select("set_key", F.col("id").alias("b")), "set_key").select("a", "b")
-    met = met.unionByName(prefix_pairs(runs, evals.select("id"), trains.select("id"), threshold)).unionByName(equal).distinct()
-    near = verified(met, runs, threshold)
-    keys = {flag: reps.where(F.col("is_eval") == F.lit(flag)).select(F.col("id").alias(i), F.col("set_key").alias(k)) for flag, i, k in ((True, "a", "key_e"), (False, "b", "key_t"))}
-    linked = near.join(keys[True], "a").join(keys[False], "b").select("key_e", "key_t", "similarity")
-    evals = members.where("is_eval").select(F.col("set_key").alias("key_e"), F.col("rec_id").alias("eval_id"))
-    trains = members.where("not is_eval").select(F.col("set_key").alias("key_t"), F.col("rec_id").alias("train_id"))
-    pairs = linked.join(evals, "key_e").join(trains, "key_t").where("eval_id <> train_id")
+    linked = class_links(sets, threshold, most_together, exhaustive)
+    pairs = shuffle_join(_members(sets, True, "key_e", "eval_id"), linked, "key_e")
+    pairs = shuffle_join(_members(sets, False, "key_t", "train_id"), pairs, "key_t").where("eval_id <> train_id")
     return pairs.groupBy("eval_id", "train_id").agg(F.max("similarity").alias("similarity"))
 
 
-def found(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER) -> DataFrame:
+def found(records: DataFrame, threshold: float = THRESHOLD, most_together: int = MOST_TOGETHER, exhaustive: bool = False) -> DataFrame:
     """rec_id_a, rec_id_b (smaller first) of the overlapping pairs."""
-    pairs = overlap_pairs(records, threshold, most_together)
+    pairs = overlap_pairs(records, threshold, most_together, exhaustive)
     return pairs.select(F.least("eval_id", "train_id").alias("rec_id_a"), F.greatest("eval_id", "train_id").alias("rec_id_b")).distinct()
 
 
 def report(records: DataFrame) -> DataFrame:
-    """By split and true source of the evaluation record: records, records that overlap with train, pairs."""
+    """By split and true source of the evaluation record: records, records that overlap with train, pairs.
+
+    Counted from classes of equal run sets: copies are never expanded into pairs. A record
+    that stands in both splits does not count as overlapping with itself.
+    """
+    sets = split_sets(records)
+    links = materialise(class_links(sets), "links")
+    evals, trains = _members(sets, True, "key_e", "rec_id"), _members(sets, False, "key_t", "rec_id")
+    equal = F.col("similarity") == 1.0
+    sizes = shuffle_join(trains.groupBy("key_t").agg(F.count("*").alias("size")), links, "key_t")
+    sizes = sizes.groupBy("key_e").agg(F.sum("size").alias("n"), F.sum(F.when(equal, F.col("size")).otherwise(0)).alias("n_equal"))
+    both = shuffle_join(shuffle_join(evals, trains, "rec_id"), links, ["key_e", "key_t"])
+    both = both.groupBy("rec_id", "key_e").agg(F.count("*").alias("own"), F.count(F.when(equal, 1)).alias("own_equal"))
     own = records.where(F.col("split").isin("validation", "test")).select("rec_id", "split", canonical_source(F.col("_source")).alias("source")).dropDuplicates(["rec_id"])
-    hits = overlap_pairs(records).groupBy(F.col("eval_id").alias("rec_id")).agg(F.count("*").alias("n"), F.max("similarity").alias("s"))
-    return own.join(hits, "rec_id", "left").groupBy("split", "source").agg(
-        F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"),
-        F.count(F.when(F.col("s") == 1.0, 1)).alias("with_equal_text"),
+    own = shuffle_join(shuffle_join(own, evals, "rec_id", "left"), both, ["rec_id", "key_e"], "left").fillna(0, ["own", "own_equal"])
+    # Records of a class count together, so a class of many copies meets its figures as a row for each split and source.
+    alike = own.groupBy("split", "source", "key_e", "own", "own_equal").agg(F.count("*").alias("c"))
+    figures = shuffle_join(alike, sizes, "key_e", "left")
+    left, left_equal = F.coalesce(F.col("n") - F.col("own"), F.lit(0)), F.coalesce(F.col("n_equal") - F.col("own_equal"), F.lit(0))
+    total = lambda c: F.sum(c).alias
+    return figures.groupBy("split", "source").agg(
+        total(F.col("c"))("records"), total(F.when(left > 0, F.col("c")).otherwise(0))("overlapping"), total(left * F.col("c"))("pairs"),
+        total(F.when(left_equal > 0, F.col("c")).otherwise(0))("with_equal_text"),
     )
-

@@ -36,7 +36,7 @@ def words_sql(text: str) -> str:
 _RUNS = """
 one as (select rec_id, any_value(text) as text, any_value(split) as split from corpus_records where text is not null group by rec_id),
 w as (select rec_id, split, {words} as w from one),
-r as (select rec_id, split, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) as s from w),
+r as (select rec_id, split, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2])))) as s from w),
 f as (select *, len(s) as n from r where len(s) >= 20),
 u as (select rec_id, split, n, unnest(s) as run from f),
 near as (select a.rec_id as a, b.rec_id as b, any_value(a.split) as sa, any_value(b.split) as sb from u a join u b on a.run = b.run and a.rec_id < b.rec_id
@@ -45,6 +45,14 @@ group by 1, 2 having count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(
 P3_FOUND_SQL = f"""with {_RUNS}
 select a as rec_id_a, b as rec_id_b from near where (sa = 'train' and sb in ('validation', 'test')) or (sb = 'train' and sa in ('validation', 'test'))"""
 
+P3_REPORT_SQL = f"""with {_RUNS},
+links as (select case when sb = 'train' then a else b end as e, s from (select near.*, x.s = y.s as s from near join f x on x.rec_id = a join f y on y.rec_id = b)
+  where (sa = 'train' and sb in ('validation', 'test')) or (sb = 'train' and sa in ('validation', 'test'))),
+hits as (select e, count(*) as n, bool_or(s) as same from links group by e),
+own as (select rec_id, any_value(split) as split, any_value({canonical_source_sql("_source")}) as source from corpus_records where split in ('validation', 'test') and rec_id is not null group by rec_id)
+select split, source, count(*) as records, count(n) as overlapping, coalesce(sum(n), 0)::BIGINT as pairs, count(*) filter (same) as with_equal_text
+from own left join hits on e = rec_id group by split, source"""
+
 P4_FOUND_SQL = f"""with recursive {_RUNS},
 e as (select a, b from near union all select b, a from near),
 c(id, g) as (select distinct a, a from e union select e.b, c.g from c join e on e.a = c.id where c.g < e.b)
@@ -154,4 +162,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..plans.shared import discard, lookup_join, materialise
+from ..plans.shared import discard, lookup_join, materialise, shuffle_join
 from .textnorm import Batch, WordHashes, set_key
 
 RUN = 3  # words in a run
@@ -75,7 +75,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     """The pairs (a, b) whose run sets (id, runs, each id once) reach the threshold, with their similarity."""
     left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
-    out = pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("runs_a"), F.col("runs_b")))
+    out = shuffle_join(shuffle_join(pairs, left, "a"), right, "b").withColumn("similarity", jaccard(F.col("runs_a"), F.col("runs_b")))
     return out.where(F.col("similarity") >= threshold).drop("runs_a", "runs_b")
 
 
@@ -102,7 +102,7 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """
     flat = sets.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     common = flat.groupBy("run").agg(F.count("*").alias("df"))
-    ordered = flat.join(common, "run").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("r"))  # the runs of one text
+    ordered = shuffle_join(flat, common, "run").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("r"))  # the runs of one text
     enough = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
     return ordered.select("id", "n", F.explode(F.slice(F.col("r.run"), F.lit(1), enough)).alias("run"))
 
@@ -114,32 +114,39 @@ def prefix_pairs(sets: DataFrame, left: DataFrame, right: DataFrame, threshold:
     """
     sides = left.select("id", F.lit(1).alias("side")).unionByName(right.select("id", F.lit(2).alias("side"))).distinct()
     sides = materialise(sides.groupBy("id").agg(F.sum("side").alias("side")), "sides")  # 1 left, 2 right, 3 both
-    index = prefixes(sets.join(sides, "id", "left_semi"), threshold).join(sides, "id")
-    index = materialise(index, "prefixes")
+    index = materialise(shuffle_join(prefixes(shuffle_join(sets, sides, "id", "left_semi"), threshold), sides, "id"), "prefixes")
     a, b = index.where("side in (1, 3)"), index.where("side in (2, 3)")
-    met = a.select("run", F.col("id").alias("a"), F.col("n").alias("na")).join(b.select("run", F.col("id").alias("b"), F.col("n").alias("nb")), "run")
+    met = shuffle_join(a.select("run", F.col("id").alias("a"), F.col("n").alias("na")), b.select("run", F.col("id").alias("b"), F.col("n").alias("nb")), "run")
     return met.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    """What tells two sets of different edges (u, v) apart: their number and two order-free sums of hashes."""
+    low, high = F.xxhash64("u", "v"), F.xxhash64("v", F.lit(7), "u")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(low), F.sum(F.shiftright(high, 24))).first())
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """id and component (smallest id reached) of all ids in edges (a, b).
 
-    Alternates large-star and small-star rounds; every round is one shuffle of the edges
-    and is written to the shared folder. Nothing but a count comes to the driver.
+    Alternates large-star and small-star rounds; every round is written to the shared
+    folder and read once more for the sums that tell whether it changed anything. Nothing
+    but these comes to the driver.
     """
     current = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    state = _state(current)
     for _ in range(most_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = shuffle_join(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        nxt = materialise(small.where("u <> v").distinct(), "edges")
-        same = nxt.exceptAll(current).isEmpty() and current.exceptAll(nxt).isEmpty()
+        small = shuffle_join(large, low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        settled = materialise(small.where("u <> v").distinct(), "edges")
+        before, state = state, _state(settled)
         discard(current)
-        current = nxt
-        if same:
+        current = settled
+        if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
