@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from weftline.llm import leakage, prose, reading, tokens
@@ -104,6 +105,35 @@ def test_myers_against_the_plain_table():
         leakage.myers([], [1])
 
 
+def test_myers_of_many_rows():
+    r, rng = random.Random(4), np.random.default_rng(4)
+    for m in (3, 10, 64, 70):
+        patterns, texts = rng.integers(0, 4, (200, m)).astype(np.uint64), rng.integers(0, 4, (200, m + 4)).astype(np.uint64)
+        for i in range(100):  # near ones too
+            texts[i, 2 : m + 2] = patterns[i]
+            texts[i, r.randrange(m)] = 9
+        sizes = rng.integers(0, m + 5, 200)
+        got = leakage.myers_all(patterns, texts, sizes)
+        assert got.tolist() == [leakage.myers(p.tolist(), t[:k].tolist()) for p, t, k in zip(patterns, texts, sizes)]
+
+
+def test_many_items_are_one_scan_and_short_ones_are_listed(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda: "w%d" % r.randrange(500)
+    items = [(k, "t", "test", " ".join(word() for _ in range(r.choice([4, 12, 30]))), None) for k in range(60)] + [(60, "t", "test", None, None)]
+    docs = [(k, " ".join(word() for _ in range(20)) + " " + items[k % 60][3] + " " + word()) for k in range(90)]
+    docs += [(100, " ".join(items[1][3].split()[:5] * 400))]  # one piece over and over
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, task string, split string, text_a string, text_b string")
+    whole = sorted(map(tuple, leakage.leaks(df, it).collect()))
+    monkeypatch.setattr(leakage, "MOST_HITS", 3)
+    blocks = leakage.leaks(df, it, block_bytes=300)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and sorted(map(tuple, blocks.collect())) == whole
+    report = {x["item_id"]: x for x in leakage.item_report(df, it).collect()}
+    assert set(report) == set(range(61)) and all(x["too_short"] == (x["words"] < 10) for x in report.values())
+    assert all(report[k]["exact_documents"] == (1 + (k < 30) if report[k]["words"] >= 10 else 0) for k in range(60))
+
+
 def test_leaks_against_brute_force(spark):
     r = random.Random(2)
     vocabulary = ["v%d" % i for i in range(60)]

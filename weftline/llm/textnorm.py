@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 
@@ -43,6 +45,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(batch: pa.RecordBatch, text: int, most_rows: int = 2000, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most most_rows rows and most_bytes of text (or one longer text), which bounds a worker's memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (i - start >= most_rows or held + n > most_bytes):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a bound (then the memory is cleared, results stay the same)."""
 
