@@ -16,13 +16,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.shared import discard, lookup_join, materialise, shuffle_join
-from .textnorm import Batch, WordHashes, set_key
+from .textnorm import Batch, WordHashes, set_key, slices
 
 RUN = 3  # words in a run
 LEAST_RUNS = 20  # different runs a text needs
 THRESHOLD = 0.6  # share of runs that must stand in both texts
 SLICE = 16  # buckets with more are told by one member in SLICE
-CHUNK = 2000  # texts hashed at once, bounds the worker's memory
 
 RUN_FIELDS = [T.StructField("set_key", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType(), False))]
 
@@ -40,8 +39,7 @@ def run_sets(df: DataFrame, keep: list[str], extra: list[T.StructField], extra_o
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, CHUNK):
-                part = whole.slice(start, CHUNK)
+            for part in slices(whole, whole.num_columns - 1):
                 batch = Batch(part.column(part.num_columns - 1).to_pylist(), hashes)
                 values, offsets = batch.distinct_runs(run)
                 full = np.flatnonzero(np.diff(offsets) >= least_runs)
@@ -57,9 +55,9 @@ def run_sets(df: DataFrame, keep: list[str], extra: list[T.StructField], extra_o
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Share of the elements of either set that stand in both."""
+    """Share of the elements of either set (arrays without repeats) that stand in both."""
     both = F.size(F.array_intersect(a, b))
-    return both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both)
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def fetched(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -75,7 +73,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     """The pairs (a, b) whose run sets (id, runs, each id once) reach the threshold, with their similarity."""
     left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
-    out = shuffle_join(shuffle_join(pairs, left, "a"), right, "b").withColumn("similarity", jaccard(F.col("runs_a"), F.col("runs_b")))
+    out = shuffle_join(shuffle_join(pairs, left, "a"), right, "b")
+    # Sets whose sizes differ too much cannot reach the threshold.
+    out = out.where(F.least(F.size("runs_a"), F.size("runs_b")) >= F.greatest(F.size("runs_a"), F.size("runs_b")) * F.lit(threshold))
+    out = out.withColumn("similarity", jaccard(F.col("runs_a"), F.col("runs_b")))
     return out.where(F.col("similarity") >= threshold).drop("runs_a", "runs_b")
 
 
