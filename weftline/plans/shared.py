@@ -61,13 +61,14 @@ def byte_size(df: DataFrame, column: str | None = None) -> int:
     return int(df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("b")).first()["b"])
 
 
-def partitions_for(df: DataFrame, bytes_per_row: int, per_task: int = 32 << 20) -> int:
-    """Shuffle partitions for rows of df that take bytes_per_row each, so that a task's share stays the same at any size.
+def partitions_for(df: DataFrame, bytes_per_row: int, small: int = 16 << 20, large: int = 512 << 20, many: int = 2000) -> int:
+    """Shuffle partitions for rows of df that take bytes_per_row each.
 
-    df is a materialised table: its rows are counted from the file footers.
+    A task has small bytes while there are at most many tasks, then more, up to large. df
+    is a materialised table: its rows are counted from the file footers.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, -(-df.count() * bytes_per_row // per_task))
+    least, total = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), df.count() * bytes_per_row
+    return max(least, min(-(-total // small), many), -(-total // large))
 
 
 def shuffle_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
