@@ -20,6 +20,18 @@ def catalog(spark):
 
 PROSE_EN = "The old farmer carried the basket to the market and sold it to a child who had waited there since the morning. After that he went home along the river."
 PROSE_HE = "האיכר הזקן נשא את הסל אל השוק ומכר אותו לילד שחיכה שם מאז הבוקר. לאחר מכן הוא הלך לבית של אחיו ליד הנהר ואכל את הלחם עם המלח."
+
+
+def corpus():
+    """Different prose of two languages, from which the common words of a test's texts are learned."""
+    r = random.Random(12)
+    en = "farmer basket market child morning home river road house bread salt boat stone hill tree horse letter window garden coat lamp bridge mill field clock tower shelf kettle pocket sailor tailor meadow copper ladder carpet engine barrel needle button cellar saddle ticket island forest candle".split()
+    he = "האיכר הסל השוק הילד הבוקר הבית הנהר הדרך הלחם המלח הסירה האבן הגבעה העץ הסוס המכתב החלון הגן המעיל המנורה הגשר הטחנה השדה השעון המגדל המדף הקומקום הכיס המלח החייט האחו הנחושת הסולם השטיח המנוע החבית המחט הכפתור המרתף האוכף הכרטיס האי היער הנר".split()
+    sentence_en = lambda: "The {} was seen by the {} of the {}, and after the {} it went to the {}.".format(*r.sample(en, 5)).capitalize()
+    sentence_he = lambda: "{} הלך אל {} של {} לאחר {} וגם מצא את {}.".format(*r.sample(he, 5))
+    return [" ".join((sentence_en if i % 2 else sentence_he)() for _ in range(1)) for i in range(160)]
+
+
 JUNK = [
     "\n".join(f"* item{i} basket ({i})" for i in range(30)),
     "\n".join(f"river\t{i}.5\t{i * 7}\tbasket" for i in range(20)),
@@ -43,6 +55,7 @@ def test_prose_and_junk(spark, catalog):
     rows += [(300, JUNK[0], "CODEMIX_C-01.jsonl ", None, None, None, None), (301, None, None, None, None, None, None), (302, " \n\t ", None, None, None, None, None), (303, "", None, None, None, None, None), (None, JUNK[0], None, None, None, None, None)]
     rows += [(304, JUNK[3] * 5000, "codemix_z-77", None, None, None, None), (305, PROSE_EN + " " + " ".join(f"the {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6] * (i // 600 % 9)} of it went" for i in range(5000)), None, None, None, None, None)]
     rows.append(rows[-6])  # delivered twice
+    rows += [(1000 + i, t, "engmix_a-01.jsonl", "train", "x", "y", "z") for i, t in enumerate(corpus())]
     df = spark.createDataFrame(rows, RECORDS)
     found = sorted(r["rec_id"] for r in prose.not_prose(df, catalog).collect())
     assert found == [200 + i for i in range(len(JUNK))]
@@ -52,6 +65,33 @@ def test_prose_and_junk(spark, catalog):
     assert 0 <= one[1]["pct_n_words"] <= 100 and one[1]["source"] == "engmix_a-01.jsonl"
 
 
+FOREIGN = [
+    "Le vieux fermier portait le panier au marché et le vendit à un enfant qui attendait là depuis le matin. Après cela, il rentra chez lui le long de la rivière et il mangea du pain avec du sel.",
+    "Der alte Bauer trug den Korb auf den Markt und verkaufte ihn an ein Kind, das dort seit dem Morgen gewartet hatte. Danach ging er am Fluss entlang nach Hause und aß das Brot mit dem Salz, das er in der Stadt gekauft hatte.",
+    "Старый крестьянин нёс корзину на рынок и продал её ребёнку, который ждал там с самого утра. Потом он пошёл домой вдоль реки и съел хлеб с солью, который он купил в городе у брата.",
+]
+WRONG_ENCODING = "÷öá æåì øöä àú äø÷ãï äùèåç àì äîèáç äôéæéåìåâéú. äçîàä äòîå÷ çúí äúé÷ îï äàøåáä äøçå÷. äàáï äîìà äöéò àú äëì àì äáéú îï äùåê."
+
+
+def test_prose_of_languages_without_known_words(spark, catalog):
+    rows = [(i, PROSE_EN if i % 2 else PROSE_HE, None, None, None, None, None) for i in range(60)]
+    rows += [(100 + i, t, None, None, None, None, None) for i, t in enumerate(FOREIGN)]
+    rows += [(1000 + i, t, None, None, None, None, None) for i, t in enumerate(corpus())]
+    rows += [(200, WRONG_ENCODING, None, None, None, None, None), (201, " ".join(JUNK[3].split() * 3), None, None, None, None, None)]
+    found = sorted(r["rec_id"] for r in prose.not_prose(spark.createDataFrame(rows, RECORDS), catalog).collect())
+    assert found == [200, 201]
+
+
+def test_common_words_come_from_the_texts(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join([f"bli{r.randrange(5000)}" if r.random() < 0.7 else r.choice(["zu", "wo"]) for _ in range(40)]) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",), ("zu {} = [] <> ;" * 9,)], "text string")
+    assert prose.common_words(df) == {"zu", "wo"}
+    monkeypatch.setattr(prose, "COUNTERS", 50)
+    monkeypatch.setattr(prose, "KEPT", 10)
+    assert prose.common_words(df) == {"zu", "wo"} and prose.common_words(df.limit(0)) == frozenset()
+
+
 def test_quality_of_nothing(spark, catalog):
     assert prose.record_quality(spark.createDataFrame([], RECORDS), catalog.limit(0)).count() == 0
     only_null = spark.createDataFrame([(1, None, None, None, None, None, None)], RECORDS)

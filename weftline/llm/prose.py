@@ -1,19 +1,22 @@
 """Problem 1: per-document text quality statistics, their distributions, and the records that are not prose.
 
-Statistics of each text come from one Arrow pass. Mergeable KLL sketches of every
-statistic are built per language; the median and the spread between quartiles from those
-sketches turn each value into a robust z-score, and records far out in a tail that marks
-lists, tables or junk are flagged. Nothing but the sketches (a row for each language) is
-broadcast.
+A first pass counts in how many texts of each script every word stands; the words of a
+large share of the texts are that language's common words. A second pass takes the
+statistics of each text. Mergeable KLL sketches of every statistic are built per language;
+the median and the spread between quartiles from those sketches turn each value into a
+robust z-score, and records far out in a tail that marks lists, tables or junk are
+flagged. Only common words and sketches (a row for each language) are sent around.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,22 +24,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.names import canonical_source
 from ..plans.shared import lookup_join, materialise
-from .textnorm import words
-
-# Frequent function words of English and of Hebrew.
-COMMON_WORDS = frozenset(
-    """the of and to in that is was for on as with by at from or an be this it are which but not they his her their
-    its our we he she you have had has been were would will one all there some no each any every when while because
-    since although after before until past under over above below behind between beyond against around across along
-    toward towards near beside beneath inside outside into onto upon within without through during so if then than
-    whereas yet nor these those my your who whom whose what where how why can could should may might must do does did
-    about up down out off again soon often usually always never once also too very more most other such only own same
-    both few many much
-    את של על אל מן עם כי אם או לא גם זה זו זאת הוא היא הם הן אני אנו אנחנו אתה יש אין היה הייתה היו כל רק כך כן אז
-    אבל אולם אך אף וגם כאשר בזמן לאחר אחרי לפני משום מפני בגלל למרות מול מעל מתחת סביב בתוך ליד מאחורי בין עד כמו
-    לפי אצל בלי תחת נגד דרך לעומת שהיה כפי ביום ההוא באותם ימים בתחילה הכול היום פעם מה מי איך למה אשר לכן ואף
-    ואת""".split()
-)
+from .textnorm import slices, words
+
+COMMON_SHARE = 0.25  # of the texts of a script that a common word stands in
+COUNTERS = 1 << 16  # different words of a script that a task counts at once
+MOST_SEEN = 1 << 20  # texts of a task remembered to know copies
+KEPT = 4096  # counters that a task hands on; a word left out stands in less than 1 in KEPT of its words
+CODE_SYMBOLS = 0.02  # texts with a larger share of symbols are not counted as natural language
+
 # Characters that source code, markup and tables use far more often than prose.
 SYMBOLS = "{}[]<>=_#*/\\|~^`$@%&+;"
 
@@ -44,6 +39,8 @@ SYMBOLS = "{}[]<>=_#*/\\|~^`$@%&+;"
 SEPARATORS = ("|", "»", "›", "•", "·", " > ")
 
 REACH = 4  # words on either side that a common word vouches for
+OWN_LETTERS, OWN_WORDS, OWN_SHARE = 4, 15, 0.5  # see own_share
+SKETCH_K = 4096  # size of a quantile sketch: ranks are right to about 0.1 percent
 
 _SYMBOL_BYTES, _DIGIT_BYTES = SYMBOLS.encode(), b"0123456789"
 _MIXED = re.compile(r"\d[a-z]|[a-z]\d|.{26}")
@@ -52,7 +49,9 @@ SENTENCE_END = re.compile(r"[.!?]+(?=[\s\"'”“’‘״׳»«)]|$)")
 _WORDISH = re.compile(r"[^\W_]")
 _CLOSERS, _ENDS = "\"'”’״)]", (".", "!", "?", "…")
 
-#: name -> (tail that marks junk, smallest spread taken as one robust standard deviation, cut in robust z-scores)
+#: name -> (tail that marks junk, smallest spread taken as one robust standard deviation, cut in robust z-scores).
+#: The spread of prose_share is the data's own; its floor is a word or two of a short text. Of the other three flagged
+#: statistics nearly every text of running prose has the same value, so their floor is the resolution.
 STATISTICS = {
     "n_words": ("", 1.0, 0.0),
     "mean_word_len": ("", 0.25, 0.0),
@@ -60,11 +59,13 @@ STATISTICS = {
     "digit_ratio": ("", 0.01, 0.0),
     "punct_line_share": ("", 0.05, 0.0),
     "common_share": ("", 0.03, 0.0),
-    "prose_share": ("low", 0.05, -10.0),
+    "prose_share": ("low", 0.03, -9.5),
     "distinct_run_share": ("low", 0.05, -10.0),
     "irregular_share": ("high", 0.02, 10.0),
     "separator_share": ("high", 0.02, 10.0),
 }
+#: Where hardly a line ends in punctuation (below UNENDED), the cut of prose_share.
+UNENDED, UNENDED_CUT = 0.2, -7.0
 _FIELDS = [*STATISTICS]
 
 
@@ -73,41 +74,120 @@ class WordFacts(dict):
 
     COMMON, LONG, HEBREW, LATIN, IRREGULAR, LENGTH = 1, 2, 4, 8, 16, 8  # bits, and the shift of the length
 
+    def __init__(self, common: frozenset[str] = frozenset()):
+        super().__init__()
+        self.common = common
+
     def __missing__(self, word: str) -> int:
         if len(self) >= 500_000:
             self.clear()
         n, hebrew = len(word), "א" <= word[0] <= "ת"
-        facts = (word in COMMON_WORDS) * self.COMMON + (n >= 9 or hebrew and n >= 7) * self.LONG + hebrew * self.HEBREW
+        facts = (word in self.common) * self.COMMON + (n >= 9 or hebrew and n >= 7) * self.LONG + hebrew * self.HEBREW
         facts += ("a" <= word[0] <= "z") * self.LATIN + (n > 1 and bool(_MIXED.search(word))) * self.IRREGULAR + (n << self.LENGTH)
         self[word] = facts
         return facts
 
 
+def script_of(hebrew: np.ndarray, latin: np.ndarray) -> np.ndarray:
+    """'he' or 'en', the alphabet most words begin with, 'other' without either."""
+    return np.where((hebrew == 0) & (latin == 0), "other", np.where(hebrew >= latin, "he", "en"))
+
+
+def _symbols(texts: list[str]) -> np.ndarray:
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return np.fromiter((len(r) - len(r.translate(None, _SYMBOL_BYTES)) for r in raw), float, len(raw)) / np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), 1)
+
+
+def common_words(df: DataFrame, text: str = "text", share: float = COMMON_SHARE) -> frozenset[str]:
+    """Words that stand in at least a share of the texts of their script, by a heavy-hitter count of all texts.
+
+    Texts in no known script and texts full of symbols (source code, markup) are not
+    counted, and copies of a text count once a task, so that the words of a text that many
+    rows hold do not become common. A task counts at most COUNTERS words of a script at once (the rarest go first)
+    and hands on its KEPT most frequent ones; counts of tasks add up. A text has a bounded
+    number of words, so at most mean words / share of them can be common: that is all that
+    comes to the driver.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts = WordFacts()
+        counts, n, seen = {"he": Counter(), "en": Counter()}, Counter(), set()
+        for whole in batches:
+            for batch in slices(whole, 0):
+                texts = batch.column(0).to_pylist()
+                for t, symbols in zip(texts, _symbols(texts)):
+                    key = xxhash.xxh3_64_intdigest(t)
+                    if symbols >= CODE_SYMBOLS or key in seen:
+                        continue
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    split = words(t)
+                    flat = np.fromiter(map(facts.__getitem__, split), np.int64, len(split))
+                    script = str(script_of(np.array([(flat & facts.HEBREW > 0).sum()]), np.array([(flat & facts.LATIN > 0).sum()]))[0])
+                    if script != "other":
+                        n[script] += 1
+                        counts[script].update(set(split))
+                for c in counts.values():
+                    if len(c) > COUNTERS:
+                        for w, _ in c.most_common()[COUNTERS // 2 :]:
+                            del c[w]
+        rows = [(s, w, k) for s, c in counts.items() for w, k in [("", n[s]), *c.most_common(KEPT)] if k]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["script", "word", "n"])
+
+    counted = df.where(F.col(text).isNotNull()).select(text).mapInArrow(go, "script string, word string, n bigint").groupBy("script", "word").agg(F.sum("n").alias("n"))
+    total = counted.where("word = ''").select("script", F.col("n").alias("total"))  # a row for each script
+    return frozenset(r["word"] for r in counted.where("word <> ''").join(F.broadcast(total), "script").where(F.col("n") >= F.col("total") * share).select("word").collect())
+
+
 def _lines_ended(text: str) -> float:
     lines = [x for x in map(str.rstrip, text.split("\n")) if x]
     return sum(x.rstrip(_CLOSERS).endswith(_ENDS) for x in lines) / max(1, len(lines))
 
 
+def own_share(text: str, split: list[str], sentences: int) -> float:
+    """Share of the words near a short word that the text itself repeats: running sentences of a language whose common words are not known.
+
+    0 unless there are sentences of usual length, most lines end in punctuation, and the
+    letters are mostly unaccented Latin ones or mostly of one other alphabet (which text
+    read in a wrong encoding is not).
+    """
+    if len(split) < OWN_WORDS or sentences < 2 or not 5 <= len(split) / sentences <= 60 or _lines_ended(text) < 0.5:
+        return 0.0
+    letters = [c for c in text if c.isalpha()]
+    if max(sum(c < "\x80" for c in letters), sum(c >= "\u0370" for c in letters)) < 0.8 * len(letters):
+        return 0.0
+    times = Counter(split)
+    own = np.array([times[w] > 1 and len(w) <= OWN_LETTERS and w.isalpha() for w in split], bool)
+    return float(_near(own, np.zeros(len(split), np.int64)).mean())
+
+
+def _near(hit: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    near = hit.copy()
+    for k in range(1, min(REACH, len(hit) - 1) + 1):
+        same = doc[k:] == doc[:-k]
+        near[k:] |= hit[:-k] & same
+        near[:-k] |= hit[k:] & same
+    return near
+
+
 def measure(texts: list[str], split: list[list[str]], facts: WordFacts) -> dict[str, list | np.ndarray]:
-    """Columns of script ('he', 'en' or 'other'), sentences, long words and statistics of texts.
+    """Columns of script ('he', 'en' or 'other'), sentences, long words, own_share and statistics of texts.
 
     prose_share is the share of words with a common word within REACH words: lists,
     tables, keyword heaps and gibberish have none whatever their layout, running
     sentences have one nearly everywhere, whatever their line breaks, case or punctuation.
     distinct_run_share falls when a phrase is repeated over and over; irregular_share is
     the share of characters in words that mix letters and digits or are absurdly long;
-    separator_share counts the marks between entries of menus for each word.
+    separator_share counts the marks between entries of menus for each word. own_share is
+    taken of texts with hardly a common word only.
     """
     counts = np.fromiter(map(len, split), np.int64, len(split))
     ends = np.cumsum(counts)
     doc = np.repeat(np.arange(len(split)), counts)
     flat = np.fromiter((f for w in split for f in map(facts.__getitem__, w)), np.int64, int(counts.sum()))
     common = (flat & facts.COMMON).astype(bool)
-    near = common.copy()
-    for k in range(1, REACH + 1):
-        same = doc[k:] == doc[:-k]
-        near[k:] |= common[:-k] & same
-        near[:-k] |= common[k:] & same
+    near = _near(common, doc)
 
     def total(values: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
@@ -118,17 +198,20 @@ def measure(texts: list[str], split: list[list[str]], facts: WordFacts) -> dict[
     hebrew, latin = total((flat & facts.HEBREW) > 0), total((flat & facts.LATIN) > 0)
     chars = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), 1)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sentences = [sum(1 for p in SENTENCE_END.split(t) if _WORDISH.search(p)) for t in texts]
+    prose_share = total(near) / n
     return {
-        "script": np.where((hebrew == 0) & (latin == 0), "other", np.where(hebrew >= latin, "he", "en")).tolist(),
-        "sentences": [sum(1 for p in SENTENCE_END.split(t) if _WORDISH.search(p)) for t in texts],
+        "script": script_of(hebrew, latin).tolist(),
+        "sentences": sentences,
+        "own_share": [own_share(t, w, k) if p < 0.15 else 0.0 for t, w, k, p in zip(texts, split, sentences, prose_share)],
         "long_words": total((flat & facts.LONG) > 0),
         "n_words": counts.astype(float),
         "mean_word_len": size / n,
-        "symbol_ratio": np.fromiter((len(r) - len(r.translate(None, _SYMBOL_BYTES)) for r in raw), float, len(raw)) / chars,
+        "symbol_ratio": _symbols(texts),
         "digit_ratio": np.fromiter((len(r) - len(r.translate(None, _DIGIT_BYTES)) for r in raw), float, len(raw)) / chars,
         "punct_line_share": [_lines_ended(t) for t in texts],
         "common_share": total(common) / n,
-        "prose_share": total(near) / n,
+        "prose_share": prose_share,
         "distinct_run_share": [len(set(zip(w, w[1:], w[2:]))) / (len(w) - 2) if len(w) > 2 else 1.0 for w in split],
         "separator_share": np.fromiter((sum(map(t.count, SEPARATORS)) for t in texts), float, len(texts)) / n,
         "irregular_share": total(np.where(flat & facts.IRREGULAR, lengths, 0)) / np.maximum(size, 1),
@@ -136,7 +219,7 @@ def measure(texts: list[str], split: list[list[str]], facts: WordFacts) -> dict[
 
 
 MEASURES = T.StructType(
-    [T.StructField("script", T.StringType()), T.StructField("sentences", T.LongType()), T.StructField("long_words", T.LongType())]
+    [T.StructField("script", T.StringType()), T.StructField("sentences", T.LongType()), T.StructField("long_words", T.LongType()), T.StructField("own_share", T.DoubleType())]
     + [T.StructField(f, T.DoubleType()) for f in _FIELDS]
 )
 
@@ -144,33 +227,35 @@ MEASURES = T.StructType(
 def measured(df: DataFrame, keep: list[str], text: str = "text", extra: list[T.StructField] | None = None, extra_of: Callable | None = None) -> DataFrame:
     """keep columns of df and the measures of each text; rows with a null or blank text are left out.
 
-    extra_of(words, kept values) gives the values of the extra columns, from the same pass.
+    The common words are those of df's own texts. extra_of(words, kept values) gives the
+    values of the extra columns of a slice, from the same pass.
     """
     extra = extra or []
     schema = T.StructType([df.schema[c] for c in keep] + MEASURES.fields + extra)
     target = to_arrow_schema(schema)
+    common = common_words(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = WordFacts()
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            full = [i for i, t in enumerate(texts) if t is not None and not t.isspace() and t]
-            kept = [batch.column(i).take(pa.array(full, pa.int64())) for i in range(len(keep))]
-            split = [words(texts[i]) for i in full]
-            columns = measure([texts[i] for i in full], split, facts)
-            cols = [*kept, *[columns[f.name] for f in MEASURES.fields]]
-            if extra_of:
-                values = [extra_of(w, k) for w, k in zip(split, zip(*[c.to_pylist() for c in kept]))]
-                cols += [[v[i] for v in values] for i in range(len(extra))]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, target)], schema=target)
+        facts = WordFacts(common)
+        for whole in batches:
+            for batch in slices(whole, whole.num_columns - 1):
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                full = [i for i, t in enumerate(texts) if t is not None and not t.isspace() and t]
+                kept = [batch.column(i).take(pa.array(full, pa.int64())) for i in range(len(keep))]
+                split = [words(texts[i]) for i in full]
+                columns = measure([texts[i] for i in full], split, facts)
+                cols = [*kept, *[columns[f.name] for f in MEASURES.fields]]
+                if extra_of:
+                    cols += extra_of(split)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, target)], schema=target)
 
     return df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def sketches(stats: DataFrame, by: str = "lang") -> DataFrame:
     """A KLL sketch of each statistic for each value of by, plus one ('all') pooled over the natural languages. Sketches merge."""
-    own = stats.groupBy(by).agg(*[F.expr(f"kll_sketch_agg_double({f})").alias(f) for f in _FIELDS])
-    pooled = own.where(F.col(by).isin("he", "en")).groupBy(F.lit("all").alias(by)).agg(*[F.expr(f"kll_merge_agg_double({f})").alias(f) for f in _FIELDS])
+    own = stats.groupBy(by).agg(*[F.expr(f"kll_sketch_agg_double({f}, {SKETCH_K})").alias(f) for f in _FIELDS])
+    pooled = own.where(F.col(by).isin("he", "en")).groupBy(F.lit("all").alias(by)).agg(*[F.expr(f"kll_merge_agg_double({f}, {SKETCH_K})").alias(f) for f in _FIELDS])
     return own.unionByName(pooled)
 
 
@@ -194,8 +279,8 @@ def scored(stats: DataFrame, grid: int = 20, percentiles: bool = True) -> DataFr
 
     def z(f: str):
         qs, (tail, least, _) = F.col(f"q_{f}"), STATISTICS[f]
-        # Junk may fill up to half of the marked tail, so the spread is read on the other side of the median.
-        lo, hi, sds = {"low": (0.5, 0.9, 1.2816), "high": (0.1, 0.5, 1.2816)}.get(tail, (0.25, 0.75, 1.349))
+        # The spread is read on the marked side of the median, where junk may fill up to a quarter of the texts.
+        lo, hi, sds = {"low": (0.25, 0.5, 0.6745), "high": (0.5, 0.75, 0.6745)}.get(tail, (0.25, 0.75, 1.349))
         return (F.col(f) - qs[at(0.5)]) / F.greatest((qs[at(hi)] - qs[at(lo)]) / sds, F.lit(least))
 
     out = out.withColumns({f"z_{f}": z(f) for f in _FIELDS})
@@ -203,7 +288,10 @@ def scored(stats: DataFrame, grid: int = 20, percentiles: bool = True) -> DataFr
         out = out.withColumns({f"pct_{f}": F.expr(f"size(filter(q_{f}, x -> x <= {f})) * {100 / (grid + 1)}D") for f in _FIELDS})
     flags = []
     for f, (tail, _, cut) in STATISTICS.items():
-        if tail == "low":
+        if f == "prose_share":
+            limit = F.when(F.col("punct_line_share") < UNENDED, F.lit(UNENDED_CUT)).otherwise(F.lit(cut))
+            flags.append(F.when((F.col(f"z_{f}") < limit) & (F.col("own_share") < OWN_SHARE), F.lit(f)))
+        elif tail == "low":
             flags.append(F.when(F.col(f"z_{f}") < cut, F.lit(f)))
         elif tail == "high":
             flags.append(F.when(F.col(f"z_{f}") > cut, F.lit(f)))
@@ -241,6 +329,7 @@ def not_prose(records: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def document_prose(stats: DataFrame) -> DataFrame:
-    """is_prose for measured documents: scores within their own script, and the symbols code is full of."""
-    out = scored(stats.withColumn("lang", F.col("script")), percentiles=False)
-    return out.withColumn("is_prose", (F.size("tails") == 0) & (F.col("symbol_ratio") < 0.02))
+    """is_prose for measured documents: scores within their own script, code by its symbols."""
+    code = F.col("symbol_ratio") >= CODE_SYMBOLS
+    out = scored(stats.withColumn("lang", F.when(code, "code").otherwise(F.col("script"))), percentiles=False)
+    return out.withColumn("is_prose", (F.size("tails") == 0) & ~code)

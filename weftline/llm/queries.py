@@ -64,36 +64,49 @@ g as (select distinct item_id, array_to_string(w[k:k + 9], ' ') as g from (selec
 select distinct doc_id, item_id from (select doc_id, array_to_string(w[k:k + 9], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 8)) as k from d)) x join g using (g)"""
 
 
-_COMMON = "(" + ", ".join(f"'{w}'" for w in sorted(prose.COMMON_WORDS)) + ")"
-_MARKS = " + ".join(f"(length(text) - length(replace(text, '{m}', ''))) / {len(m)}" for m in prose.SEPARATORS)
-
-
-def measures_sql(key: str, rows: str) -> str:
-    """Tables m (the statistics of rows(key, text, kind) that flag junk) and j (key, junk) after the rules of prose, by exact quantiles."""
-    return f"""t as (select {key}, text, kind, {words_sql("text")} as w from {rows} where text is not null and trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) <> ''),
-x as (select {key}, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from t),
-y as (select {key}, w, length(w) as size, bool_or(w in {_COMMON}) over (near rows between {prose.REACH} preceding and {prose.REACH} following) as near,
-  w || ' ' || lead(w, 1) over near || ' ' || lead(w, 2) over near as run from x window near as (partition by {key} order by i)),
-z as (select {key}, count(*) as n, avg(near::INT) as near, count(run) as all_runs, count(distinct run) as runs, sum(size) as size,
-  coalesce(sum(size) filter (size > 1 and regexp_matches(w, '[0-9][a-z]|[a-z][0-9]|.{{26}}')), 0) as odd, count(*) filter (size >= 9 or (size >= 7 and regexp_matches(w, '^[א-ת]'))) as long_words,
-  count(*) filter (regexp_matches(w, '^[א-ת]')) as he, count(*) filter (regexp_matches(w, '^[a-z]')) as en from y group by {key}),
-m as (select t.{key}, text, coalesce(n, 0) as n, coalesce(near, 0) as near, case when all_runs > 0 then runs / all_runs::DOUBLE else 1 end as runs, coalesce(odd / size::DOUBLE, 0) as odd,
-  ({_MARKS}) / greatest(coalesce(n, 0), 1)::DOUBLE as marks, coalesce(long_words, 0) as long_words, (length(text) - length(translate(text, '{prose.SYMBOLS}', ''))) / greatest(length(text), 1)::DOUBLE as symbols,
-  coalesce(kind, case when coalesce(he + en, 0) = 0 then 'other' when he >= en then 'he' else 'en' end) as lang from t left join z on z.{key} = t.{key}),
-q as (select lang, quantile_cont(near, [0.5, 0.9]) as near, quantile_cont(runs, [0.5, 0.9]) as runs, quantile_cont(odd, [0.1, 0.5]) as odd, quantile_cont(marks, [0.1, 0.5]) as marks from
+_SYMBOLS = "(length(text) - length(translate(text, '{}[]<>=_#*/\\|~^`$@%&+;', ''))) / greatest(length(text), 1)::DOUBLE"
+_MARKS = " + ".join(f"(length(text) - length(replace(text, '{m}', ''))) / {len(m)}" for m in ("|", "»", "›", "•", "·", " > "))
+_SENTENCES = r"""len(list_filter(string_split(regexp_replace(text, '[.!?]+([\s\p{Z}"''”“’‘״׳»«)]|$)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '[\p{L}\p{N}]')))"""
+_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\s\p{Z}]+$', '')), lambda x: x <> '')"
+_ENDED = rf"""(len(list_filter({_LINES}, lambda x: regexp_matches(x, '[.!?…]["''”’״)\]]*$'))) / greatest(1, len({_LINES}))::DOUBLE)"""
+_LETTERS = r"len(regexp_extract_all(text, '{}'))"
+
+
+def measures_sql(key: str, rows: str, kind: str) -> str:
+    """Tables m (statistics of rows(key, text, kind)) and j (key, junk) after the rules of problem 1: common words, medians and spreads from the rows themselves.
+
+    kind: the language of a row as SQL, from its kind, script and symbols.
+    """
+    return rf"""t as (select {key}, text, kind, {words_sql("text")} as w, {_SYMBOLS} as symbols, {_SENTENCES} as sentences from {rows} where text is not null and trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) <> ''),
+x as materialized (select {key}, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from t),
+a as (select {key}, count(*) filter (regexp_matches(w, '^[א-ת]')) as he, count(*) filter (regexp_matches(w, '^[a-z]')) as en from x group by {key}),
+g as materialized (select t.{key}, symbols, row_number() over (partition by text order by t.{key}) = 1 as counts, case when coalesce(he + en, 0) = 0 then 'other' when he >= en then 'he' else 'en' end as script from t left join a on a.{key} = t.{key}),
+common as materialized (select distinct w from (select script, w, count(*) as n from (select distinct {key}, w from x) d join g on g.{key} = d.{key} where counts and symbols < 0.02 and script <> 'other' group by 1, 2) u
+  join (select script, count(*) as total from g where counts and symbols < 0.02 group by 1) v using (script) where n >= total * 0.25),
+y as (select {key}, x.w, i, length(x.w) as size, bool_or(common.w is not null) over near as near,
+  bool_or(length(x.w) <= 4 and regexp_matches(x.w, '^\p{{L}}+$') and times > 1) over near as own,
+  x.w || ' ' || lead(x.w, 1) over (partition by {key} order by i) || ' ' || lead(x.w, 2) over (partition by {key} order by i) as run
+  from (select *, count(*) over (partition by {key}, w) as times from x) x left join common on common.w = x.w window near as (partition by {key} order by i rows between 4 preceding and 4 following)),
+z as (select {key}, count(*) as n, avg(near::INT) as near, avg(own::INT) as own, count(run) as all_runs, count(distinct run) as runs, sum(size) as size,
+  coalesce(sum(size) filter (size > 1 and regexp_matches(w, '[0-9][a-z]|[a-z][0-9]|.{{26}}')), 0) as odd, count(*) filter (size >= 9 or (size >= 7 and regexp_matches(w, '^[א-ת]'))) as long_words from y group by {key}),
+m as materialized (select t.{key}, text, coalesce(n, 0) as n, coalesce(near, 0) as near, case when all_runs > 0 then runs / all_runs::DOUBLE else 1 end as runs, coalesce(odd / size::DOUBLE, 0) as odd,
+  ({_MARKS}) / greatest(coalesce(n, 0), 1)::DOUBLE as marks, coalesce(long_words, 0) as long_words, t.symbols, sentences, {_ENDED} as ended,
+  coalesce(near, 0) < 0.15 and coalesce(own, 0) >= 0.5 and n >= 15 and sentences >= 2 and n / sentences::DOUBLE between 5 and 60 and {_ENDED} >= 0.5
+  and greatest({_LETTERS.format("[A-Za-z]")}, len(list_filter(regexp_extract_all(text, '[\p{{L}}]'), lambda c: unicode(c) >= 880))) >= 0.8 * {_LETTERS.format(r"\p{L}")} as foreign_prose,
+  {kind} as lang from t join g on g.{key} = t.{key} left join z on z.{key} = t.{key}),
+q as (select lang, quantile_disc(near, [0.25, 0.5]) as near, quantile_disc(runs, [0.25, 0.5]) as runs, quantile_disc(odd, [0.5, 0.75]) as odd, quantile_disc(marks, [0.5, 0.75]) as marks from
   (select lang, near, runs, odd, marks from m where lang in ('he', 'en', 'code') union all select 'other', near, runs, odd, marks from m where lang in ('he', 'en')) group by lang),
-j as (select m.{key}, m.lang, (m.near - q.near[1]) / greatest((q.near[2] - q.near[1]) / 1.2816, 0.05) < -10 or (m.runs - q.runs[1]) / greatest((q.runs[2] - q.runs[1]) / 1.2816, 0.05) < -10
-  or (m.odd - q.odd[2]) / greatest((q.odd[2] - q.odd[1]) / 1.2816, 0.02) > 10 or (m.marks - q.marks[2]) / greatest((q.marks[2] - q.marks[1]) / 1.2816, 0.02) > 10 as junk from m left join q using (lang))"""
+j as (select m.{key}, m.lang, coalesce((m.near - q.near[2]) / greatest((q.near[2] - q.near[1]) / 0.6745, 0.03) < case when ended < 0.2 then -7 else -9.5 end and not foreign_prose, false) or (m.runs - q.runs[2]) / greatest((q.runs[2] - q.runs[1]) / 0.6745, 0.05) < -10
+  or (m.odd - q.odd[1]) / greatest((q.odd[2] - q.odd[1]) / 0.6745, 0.02) > 10 or (m.marks - q.marks[1]) / greatest((q.marks[2] - q.marks[1]) / 0.6745, 0.02) > 10 as junk from m left join q using (lang))"""
 
 
 P1_FOUND_SQL = f"""with families as (select distinct split_part({canonical_source_sql("source_name")}, '_', 1) as family from source_catalog where lang = 'code'),
 one as (select rec_id, any_value(text) as text, case when any_value(split_part({canonical_source_sql("_source")}, '_', 1)) in (select family from families) then 'code' end as kind from corpus_records group by rec_id),
-{measures_sql("rec_id", "one")}
+{measures_sql("rec_id", "one", "coalesce(kind, script)")}
 select rec_id from j where junk and lang <> 'code'"""
 
-_SENTENCES = r"""len(list_filter(string_split(regexp_replace(text, '[.!?]+([\s\p{Z}"''”“’‘״׳»«)]|$)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '[\p{L}\p{N}]')))"""
-P8_FOUND_SQL = f"""with docs as (select doc_id, text, null::VARCHAR as kind from documents), {measures_sql("doc_id", "docs")}
-select doc_id from m join j using (doc_id) where not junk and symbols < 0.02 and n >= 20 * {_SENTENCES} and {_SENTENCES} > 0 and long_words >= 0.25 * n"""
+P8_FOUND_SQL = f"""with docs as (select doc_id, text, null::VARCHAR as kind from documents), {measures_sql("doc_id", "docs", "case when t.symbols >= 0.02 then 'code' else script end")}
+select doc_id from m join j using (doc_id) where not junk and symbols < 0.02 and n >= 20 * sentences and sentences > 0 and long_words >= 0.25 * n"""
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -157,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_items": lambda s, d: leakage.item_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_found": lambda s, d: reading.demanding(_levels(s, d)),
         "p8_levels": _levels,
+        "p8_accuracy": lambda s, d: reading.accuracy(table(s, d, "documents"), table(s, d, "reading_labels")),
         "p8_profile": lambda s, d: reading.profile(_levels(s, d)),
     }
 
