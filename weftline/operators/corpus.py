@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import hash_order, unit_hash
-from ..plans.ordered import position, running_total
+from ..plans.ordered import position, prefix
 
 
 def filter_union(df: DataFrame, criteria: list[dict]) -> DataFrame:
@@ -42,16 +42,34 @@ def union_sources(parts: list[DataFrame], index: str = "src_idx") -> DataFrame:
 
 
 def dedup_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row (in order, which tells rows apart) of each key; rows with a null key are kept.
+    """The first row in order of each key, nulls first; rows with a null key are all kept. Of rows equal in order one is kept.
 
-    The least order key of each key is found by a combined aggregate, which sends one row
-    per key and task through the shuffle, so a key that a third of the rows share is no
-    hot spot; the rows are then met by semi join.
+    The least row of each key is found by an aggregate that combines before the shuffle, so
+    a key that a third of the rows share moves one row a task.
     """
-    alone = F.concat_ws(":", F.lit("row"), *[F.col(c).cast("string") for c in order])
-    keyed = df.select(F.coalesce(key, alone).alias("__key"), F.struct(*order).alias("__at"))
-    first = keyed.groupBy("__key").agg(F.min("__at").alias("__at")).select("__at.*")
-    return df.join(first, order, "left_semi")
+    keyed = df.withColumn("__key", key)
+    row = F.struct(*df.columns)
+    first = keyed.where("__key is not null").groupBy("__key").agg(F.min_by(row, F.struct(*order)).alias("__row"))
+    return first.select("__row.*").unionByName(keyed.where("__key is null").drop("__key"))
+
+
+def build(rows: DataFrame, source: str, order: list[str], limit: int = 0, fraction: float = 0.01, seed: int = 42) -> DataFrame:
+    """A corpus: at most limit rows of each source, the first of equal records over all sources, and a split of each source.
+
+    rows: text, guid (may be absent), source and the order columns (whose first is numeric);
+    others are not kept. The limit counts the rows of a source in order (0: all). Records are equal by
+    their guid where they have one, else by the sha256 of their whole text; the first in
+    (source, order) stays, a null source coming first. A share fraction of each source, by
+    hash of source and record, is validation. Rows without text are left out.
+    """
+    guid = F.col("guid") if "guid" in rows.columns else F.lit(None).cast("string").alias("guid")
+    held = rows.where(F.col("text").isNotNull()).select("text", guid, source, *order)
+    if limit:
+        held = prefix(held, order[0], F.lit(1), limit, ties=order[1:], by=[source])
+    held = held.withColumn("guid", F.coalesce("guid", F.sha2("text", 256)))
+    kept = dedup_first(held, F.col("guid"), [source, *order])
+    drawn = F.concat(F.coalesce(source, F.lit("")), F.lit(":"), F.col("guid"))
+    return kept.withColumn("split", F.when(unit_hash(seed, drawn) < fraction, "validation").otherwise("train"))
 
 
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -69,27 +87,35 @@ def positional_split(df: DataFrame, key: str, first: int, most_validation: int |
 
 def token_budget(df: DataFrame, key: str, size: Column, budget: int, by: list[str] | None = None) -> DataFrame:
     """Rows in order of key until their sizes reach the budget, with the row that crosses it; at least one row."""
-    sized = df.withColumn("__size", F.coalesce(size.cast("long"), F.lit(0)))
-    rows = running_total(sized, key, F.col("__size"), "__total", by=by)
-    rows = position(rows, key, "__pos", by=by)
-    return rows.where((F.col("__total") - F.col("__size") < budget) | (F.col("__pos") == 1)).drop("__size", "__total", "__pos")
+    if budget <= 0:
+        return position(df, key, "__pos", by=by).where("__pos = 1").drop("__pos")
+    return prefix(df, key, F.coalesce(size.cast("long"), F.lit(0)), budget, by=by)
 
 
 def shuffled(df: DataFrame, key: str, seed: int, limit: int | None = None) -> DataFrame:
-    """Rows by hash of the key with their place (_row_number from 0), the first limit ones."""
+    """Rows by hash of the key with their place (_row_number from 0), the first limit ones or all."""
     ordered = df.withColumn("__h", hash_order(seed, F.col(key)))
     if limit is None:
-        raise ValueError("a full shuffle has no row numbers here; give a limit or use hash_order to sort")
+        ordered = ordered.withColumn("__n", F.conv(F.substring("__h", 1, 15), 16, 10).cast("long"))
+        return position(ordered, "__n", "_row_number", ties=["__h"]).withColumn("_row_number", F.col("_row_number") - 1).drop("__h", "__n")
     top = ordered.orderBy("__h").limit(limit)
-    return top.withColumn("_row_number", F.row_number().over(Window.orderBy("__h")).cast("long") - 1).drop("__h")
+    return top.withColumn("_row_number", F.row_number().over(Window.orderBy("__h")).cast("long") - 1).drop("__h")  # limit rows
 
 
-def block_sample(df: DataFrame, shard: str, size: int, seed: int) -> DataFrame:
-    """Whole shards in hash order until size rows are reached; with shard_place and the rows before the shard."""
+def block_sample(df: DataFrame, shard: str, size: int, seed: int, key: str | None = None) -> DataFrame:
+    """Whole shards in hash order until size rows are reached; with the rows before the shard. Rows without a shard are in none.
+
+    With a key, the rows of a shard are read in its order, place is a row's number in the
+    sample (from 0), and the last shard is cut so that size rows come out.
+    """
     shards = df.where(F.col(shard).isNotNull()).groupBy(shard).agg(F.count("*").alias("n")).withColumn("h", hash_order(seed, F.col(shard)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = shards.withColumn("before", before).where(F.col("before") < size).select(shard, "before")  # a row per shard
-    return df.join(taken, shard)
+    rows = df.join(taken, shard)
+    if key is None:
+        return rows
+    rows = position(rows, key, "place", by=[shard])
+    return rows.withColumn("place", F.col("before") + F.col("place") - 1).where(F.col("place") < size)
 
 
 def top_per_shard(df: DataFrame, shard: str, key: str, n: int) -> DataFrame:
@@ -123,12 +149,33 @@ def instance_weights(weights: DataFrame, counts: DataFrame, key: str, target: fl
     return rows.withColumn("instances", F.bround(F.col("coefficient") * checked * target, 0).cast("long"))
 
 
-def stream_mix(df: DataFrame, source: str, key: str, choose: dict[str, int], repeat: dict[str, int], seed: int) -> DataFrame:
-    """Per source: the first choose rows by hash of the key, each repeated; sources in neither stay as they are."""
-    name = F.col(source)
-    n = F.coalesce(*[F.when(name == s, F.lit(c)) for s, c in choose.items()], F.lit(None).cast("int")) if choose else F.lit(None).cast("int")
-    times = F.coalesce(*[F.when(name == s, F.lit(r)) for s, r in repeat.items()], F.lit(1)) if repeat else F.lit(1)
-    chosen = df.where(name.isin(list(choose))).withColumn("__n", n) if choose else df.limit(0).withColumn("__n", n)
-    ranked = chosen.withColumn("__rn", F.row_number().over(Window.partitionBy(source).orderBy(hash_order(seed, F.col(key))))).where("__rn <= __n").drop("__n", "__rn")
-    rest = df.where(~F.coalesce(name.isin(list(choose)), F.lit(False))) if choose else df
-    return ranked.unionByName(rest).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+def stream_mix(df: DataFrame, source: str, key: str, choose: dict[str, int], repeat: dict[str, int], seed: int, proportion: dict[str, float] | None = None, total: int = 0) -> DataFrame:
+    """Per source: the first choose rows by hash of the key, each repeated; sources in neither stay as they are.
+
+    proportion gives sources a share of total rows instead: their rows are repeated whole
+    as often as the share holds them, and the first ones by hash once more for the rest. A
+    source has a proportion or a choice, not both; one without rows gives none.
+    """
+    proportion = proportion or {}
+    if set(proportion) & (set(choose) | set(repeat)):
+        raise ValueError("a source has a proportion or a choice and repeats, not both")
+    name, order = F.col(source), Window.partitionBy(source).orderBy(hash_order(seed, F.col(key)))
+
+    def of(values: dict, default: Column) -> Column:
+        return F.coalesce(*[F.when(name == s, F.lit(v)) for s, v in values.items()], default) if values else default
+
+    first = df.where(name.isin(list(choose))) if choose else df.limit(0)
+    # The literal bound lets every task drop what cannot be among the first before the shuffle.
+    first = first.withColumn("__rn", F.row_number().over(order)).where((F.col("__rn") <= max(choose.values(), default=0)) & (F.col("__rn") <= of(choose, F.lit(0)))).drop("__rn")
+    rest = df.where(~F.coalesce(name.isin([*choose, *proportion]), F.lit(False))) if choose or proportion else df
+    out = first.unionByName(rest).withColumn("copy", F.explode(F.sequence(F.lit(1), of(repeat, F.lit(1)))))
+    if not proportion:
+        return out
+    held = df.where(name.isin(list(proportion)))
+    sizes = {r[source]: r["n"] for r in held.groupBy(source).agg(F.count("*").alias("n")).collect()}  # a row for each source named
+    wanted = {s: round(p * total) for s, p in proportion.items() if sizes.get(s)}
+    more = {s: n % sizes[s] for s, n in wanted.items()}
+    whole = held.withColumn("copy", F.explode(F.when(of({s: n // sizes[s] for s, n in wanted.items()}, F.lit(0)) > 0, F.sequence(F.lit(1), of({s: n // sizes[s] for s, n in wanted.items()}, F.lit(1))))))
+    numbered = held.withColumn("__at", F.conv(F.substring(hash_order(seed, F.col(key)), 1, 15), 16, 10).cast("long"))
+    again = [prefix(numbered.where(name == s), "__at", F.lit(1), n, ties=[key]).drop("__at").withColumn("copy", F.lit(wanted[s] // sizes[s] + 1)) for s, n in more.items() if n]
+    return reduce(DataFrame.unionByName, [out, whole, *again])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.ordered import running_total
 from ..plans.shared import BROADCAST_BYTES, byte_size
 
 
@@ -62,11 +63,16 @@ def macro_f1(df: DataFrame, by: list[str], label: str = "label", pred: str = "pr
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, alias: str) -> DataFrame:
-    """df with the average rank of value within by. Ranks come from counts of different values, not from sorting rows."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select(*by, value, (F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).alias(alias))
-    return df.join(ranks, [*by, value])
+    """df with the average rank of value (numeric) within by, nulls in by being a group; rows with a null value have none.
+
+    Ranks come from counts of different values; their running total is taken in slices, so
+    a group of many different scores is not ordered in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    ranks = running_total(counts, value, F.col("__n"), "__upto", by=by)
+    ranks = ranks.select(*[F.col(c).alias(f"__r_{c}") for c in [*by, value]], (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(alias))
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by] + [F.col(value) == F.col(f"__r_{value}")]
+    return df.join(ranks, same, "left").drop(*[f"__r_{c}" for c in [*by, value]])
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

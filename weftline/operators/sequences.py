@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import position, running_total
@@ -49,46 +49,51 @@ def concat_chunks(df: DataFrame, key: str, ids: str, length: int, by: list[str]
 
     The rest at the end is dropped; most_tokens > 0 keeps the chunks that begin before it.
     Each sequence is cut at chunk borders as a whole, so rows are sequences plus chunks,
-    never single tokens. Null and empty sequences add nothing; nulls in by are a group, a null key comes
-    first. Keys are unique within by.
+    never single tokens. Null and empty sequences add nothing; nulls in by are a group, a
+    null key comes first, rows with equal keys follow one another.
     """
     by = by or []
-    rows = df.where(F.size(ids) > 0).select(*by, key, F.col(ids).alias("__ids"), F.size(ids).cast("long").alias("__n"))
-    lengths = running_total(rows.select(*by, key, "__n"), key, F.col("__n"), "__end", by=by)
-    lengths = lengths.select(*[F.col(c).alias(f"__l_{c}") for c in [*by, key]], "__end")
-    same = [F.col(c).eqNullSafe(F.col(f"__l_{c}")) for c in [*by, key]]
-    rows = rows.join(lengths, same).withColumn("__start", F.col("__end") - F.col("__n"))
+    rows = df.where(F.size(ids) > 0).select(*by, F.col(key).alias("__key"), F.col(ids).alias("__ids"))
+    # The ids go through the window with their lengths: they are moved once, and repeated keys stay apart.
+    rows = running_total(rows, "__key", F.size("__ids").cast("long"), "__end", by=by).withColumn("__start", F.col("__end") - F.size("__ids"))
     whole = F.lit(length)
     touched = F.sequence(F.floor(F.col("__start") / whole), F.floor((F.col("__end") - 1) / whole))
     parts = rows.select(*by, "__start", "__end", "__ids", F.explode(touched).alias("chunk"))
     lo = F.greatest(F.col("chunk") * whole, F.col("__start"))
     hi = F.least((F.col("chunk") + 1) * whole, F.col("__end"))
-    parts = parts.select(*by, "chunk", "__start", F.slice("__ids", (lo - F.col("__start") + 1).cast("int"), (hi - lo).cast("int")).alias("__part"))
-    joined = parts.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(F.struct("__start", "__part"))).alias("__parts"))  # at most length parts
-    out = joined.select(*by, "chunk", F.flatten(F.col("__parts.__part")).alias("input_ids")).where(F.size("input_ids") == length)
+    part = F.slice("__ids", (lo - F.col("__start") + 1).cast("int"), (hi - lo).cast("int"))
+    parts = parts.select(*by, "chunk", "__start", (hi - lo == length).alias("__full"), part.alias("__part"))
+    # A chunk that lies within one sequence is complete; only pieces of others are gathered.
+    out = parts.where("__full").select(*by, "chunk", F.col("__part").alias("input_ids"))
+    joined = parts.where("not __full").groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(F.struct("__start", "__part"))).alias("__parts"))  # at most length parts
+    out = out.unionByName(joined.select(*by, "chunk", F.flatten(F.col("__parts.__part")).alias("input_ids")).where(F.size("input_ids") == length))
     return out.where(F.col("chunk") * length < most_tokens) if most_tokens else out
 
 
-def segment_ids(ids: Column, separator: Column, mode: str) -> Column:
-    """The segment of each token: separators so far, counted with the token itself ('bos') or before it ('eos')."""
+def segments(ids: Column, separator: Column, mode: str) -> Column:
+    """An array of (start, end) of the segments that separators part; a separator begins its segment ('bos') or ends it ('eos')."""
     if mode not in ("bos", "eos"):
         raise ValueError("mode is 'bos' or 'eos'")
-    empty = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    cuts = F.filter(F.transform(ids, lambda x, i: F.when(x == separator, i + int(mode == "eos"))), lambda i: i.isNotNull())
+    return F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("start"), F.concat(cuts, F.array(F.size(ids))).alias("end"))
+
+
+def segment_ids(ids: Column, separator: Column, mode: str) -> Column:
+    """The segment of each token: separators so far, counted with the token itself ('bos') or before it ('eos'). One pass over the row."""
+    return F.flatten(F.transform(segments(ids, separator, mode), lambda x, k: F.array_repeat(k, x["end"] - x["start"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        n = acc["n"] + F.when(x == separator, 1).otherwise(0)
-        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(n if mode == "bos" else acc["n"])).alias("out"))
 
-    return F.aggregate(ids, empty, step, lambda acc: acc["out"])
+def segment_lengths(df: DataFrame, key: str, ids: str, separator, mode: str) -> DataFrame:
+    """key, sequence_id, n: the tokens of each segment that has any; nothing is shuffled."""
+    rows = df.select(key, F.posexplode(segments(F.col(ids), F.lit(separator), mode)).alias("sequence_id", "__s"))
+    return rows.select(key, F.col("sequence_id").cast("long").alias("sequence_id"), (F.col("__s.end") - F.col("__s.start")).cast("long").alias("n")).where("n > 0")
 
 
 def segment_rows(df: DataFrame, key: str, ids: str, separator, mode: str) -> DataFrame:
-    """key, pos, token, sequence_id, one row per token: the form for long rows (a window instead of a growing array)."""
-    if mode not in ("bos", "eos"):
-        raise ValueError("mode is 'bos' or 'eos'")
-    rows = df.select(key, F.posexplode(ids).alias("pos", "token"))
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0 if mode == "bos" else -1)
-    return rows.withColumn("sequence_id", F.coalesce(F.sum((F.col("token") == separator).cast("int")).over(upto), F.lit(0)).cast("long"))
+    """key, pos, token, sequence_id, one row per token; nothing is shuffled."""
+    zipped = F.arrays_zip(F.col(ids).alias("token"), segment_ids(F.col(ids), F.lit(separator), mode).alias("sequence_id"))
+    rows = df.select(key, F.posexplode(zipped).alias("pos", "__z"))
+    return rows.select(key, "pos", F.col("__z.token").alias("token"), F.col("__z.sequence_id").cast("long").alias("sequence_id"))
 
 
 def hash_mask(df: DataFrame, key: str, ids: str, rate: float, mask: int, pad: int, vocabulary: int, seed: int) -> DataFrame:
@@ -110,13 +115,28 @@ def hash_mask(df: DataFrame, key: str, ids: str, rate: float, mask: int, pad: in
     return df.withColumn("masked_ids", F.transform(ids, masked)).withColumn("labels", chosen)
 
 
+def unpad_rows(df: DataFrame, key: str, values: str, mask: str, extra: list[str] | None = None, numbered: bool = True, width: int | None = None) -> DataFrame:
+    """One row per row of df: key, pos, value and extra arrays with the kept tokens only; numbered: also row (from 0 in order of key) and index (row * width + pos).
+
+    Nothing is shuffled for the tokens; only the row numbers need an order.
+    """
+    names = ["value", *(extra or [])]
+    zipped = F.arrays_zip(F.sequence(F.lit(0), F.size(mask) - 1).alias("pos"), F.col(mask).alias("__m"), *[F.col(c).alias(n) for c, n in zip([values, *(extra or [])], names)])
+    kept = F.when(F.size(mask) > 0, F.filter(zipped, lambda x: x["__m"] == 1))
+    rows = df.select(key, kept.alias("__z"), (F.lit(width) if width else F.size(values)).cast("long").alias("__w"))
+    arrays = [F.coalesce(F.col(f"__z.{c}"), F.array()).alias(c) for c in ["pos", *names]]
+    if not numbered:
+        return rows.select(key, *arrays)
+    rows = position(rows, key, "__row")
+    index = F.transform(F.col("__z.pos"), lambda p: (F.col("__row") - 1) * F.col("__w") + p)
+    return rows.select(key, (F.col("__row") - 1).alias("row"), F.coalesce(index, F.array()).alias("index"), *arrays)
+
+
 def unpad(df: DataFrame, key: str, values: str, mask: str, extra: list[str] | None = None, width: int | None = None) -> DataFrame:
     """One row per kept token: key, row (from 0 in order of key), pos, index (row * width + pos), value and extra arrays' elements."""
-    rows = position(df, key, "__row")
-    width_of = F.lit(width) if width else F.size(values)
-    zipped = F.arrays_zip(F.col(values).alias("value"), F.col(mask).alias("__m"), *[F.col(c).alias(c) for c in extra or []])
-    flat = rows.select(key, (F.col("__row") - 1).alias("row"), width_of.alias("__w"), F.posexplode(zipped).alias("pos", "__z")).where(F.col("__z.__m") == 1)
-    return flat.select(key, "row", "pos", (F.col("row") * F.col("__w") + F.col("pos")).alias("index"), F.col("__z.value").alias("value"), *[F.col(f"__z.{c}").alias(c) for c in extra or []])
+    names = ["pos", "index", "value", *(extra or [])]
+    rows = unpad_rows(df, key, values, mask, extra, width=width)
+    return rows.select(key, "row", F.explode(F.arrays_zip(*names)).alias("__z")).select(key, "row", *[f"__z.{c}" for c in names])
 
 
 def cumulative_lengths(df: DataFrame, key: str, mask: str) -> DataFrame:
@@ -125,11 +145,25 @@ def cumulative_lengths(df: DataFrame, key: str, mask: str) -> DataFrame:
     return running_total(rows, key, F.col("seqlen"), "cu_seqlen")
 
 
+def repad_rows(rows: DataFrame, key: str, width: int, value: str = "value", fill: int = 0) -> DataFrame:
+    """key and values: the tokens of unpad_rows (places ascending) scattered back to rows of width, fill elsewhere; nothing is shuffled. Places beyond width are left out."""
+    held = F.filter(F.arrays_zip(F.col("pos").alias("p"), F.col(value).alias("v")), lambda x: x["p"] < width)
+    rows = rows.select(key, held.alias("__h"))
+    follow = F.concat(F.slice(F.col("__h.p"), 2, width), F.array(F.lit(width)))
+    blank = F.lit(fill).cast("long")
+    parts = F.transform(F.arrays_zip(F.col("__h").alias("h"), follow.alias("n")), lambda x: F.concat(F.array(x["h"]["v"].cast("long")), F.array_repeat(blank, x["n"] - x["h"]["p"] - 1)))
+    lead = F.array_repeat(blank, F.coalesce(F.get(F.col("__h.p"), F.lit(0)), F.lit(width)))
+    return rows.select(key, F.when(F.size("__h") > 0, F.concat(lead, F.flatten(parts))).otherwise(lead).alias("values"))
+
+
 def repad(flat: DataFrame, rows: DataFrame, key: str, width: int, value: str = "value", fill: int = 0) -> DataFrame:
-    """key and values: tokens scattered back to rows of width, fill elsewhere. rows names every row, empty ones too."""
-    held = flat.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), F.col(value)))).alias("__m"))  # at most width tokens
-    out = rows.select(key).join(held, key, "left")
-    return out.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(fill))).alias("values"))
+    """key and values: single tokens (key, pos, value) gathered and scattered back to rows of width. rows names every row, empty ones too.
+
+    Tokens that still lie in rows need no gathering: see repad_rows.
+    """
+    held = flat.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col(value).alias("value")))).alias("__z"))  # at most width tokens
+    out = rows.select(key).join(held, key, "left").select(key, *[F.coalesce(F.col(f"__z.{c}"), F.array()).alias(c) for c in ("pos", "value")])
+    return repad_rows(out, key, width, "value", fill)
 
 
 def warmup_thresholds(least: int, most: int, warmup_tokens: int, world: int) -> list[int]:

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The text columns of each task and the metrics it is judged by.
-TASK_COLUMNS = {
-    "boolq": ("text_a", "text_b"), "mnli": ("text_a", "text_b"), "rte": ("text_a", "text_b"), "qnli": ("text_a", "text_b"), "sst2": ("text_a", None),
-    "copa": ("text_a", "text_b"), "multirc": ("text_a", "text_b"), "heb_nli": ("text_a", "text_b"), "heb_qa": ("text_a", "text_b"), "mlmmlu_rookie": ("text_a", "text_b"),
+from ..plans.ordered import position
+from ..plans.shared import materialise
+
+# The text columns of the tasks of two suites, and the metrics each task is judged by.
+GLUE_COLUMNS = {
+    "cola": ("sentence", None), "mnli": ("premise", "hypothesis"), "mrpc": ("sentence1", "sentence2"), "qnli": ("question", "sentence"),
+    "qqp": ("question1", "question2"), "rte": ("sentence1", "sentence2"), "sst2": ("sentence", None), "stsb": ("sentence1", "sentence2"),
+}
+SUPERGLUE_COLUMNS = {
+    "boolq": ("question", "passage"), "cb": ("premise", "hypothesis"), "copa": ("premise", "choice1", "choice2", "question"),
+    "multirc": ("paragraph", "question", "answer"), "rte": ("premise", "hypothesis"), "wic": ("sentence1", "sentence2"),
 }
 TASK_METRICS = {
     "mnli": ["accuracy"], "rte": ["accuracy"], "qnli": ["accuracy"], "sst2": ["accuracy"], "qqp": ["accuracy", "f1"], "mrpc": ["accuracy", "f1"],
@@ -19,11 +27,36 @@ TASK_METRICS = {
 }
 
 
-def task_columns(task: str) -> tuple[str, str | None]:
-    """The pair of text columns of a task; an unknown task is an error."""
-    if task not in TASK_COLUMNS:
-        raise ValueError(f"unknown task {task!r}")
-    return TASK_COLUMNS[task]
+def task_columns(task: str, names: dict[str, tuple] = GLUE_COLUMNS, max_seq_length: int = 256) -> tuple[str | None, ...]:
+    """The text columns of a task; an unknown task is an error, a length that is no multiple of 8 a warning."""
+    if task not in names:
+        raise ValueError(f"task ({task}) must be one of {sorted(names)}")
+    if max_seq_length % 8:
+        warnings.warn("a max_seq_length that is a multiple of 8 is faster", stacklevel=2)
+    return names[task]
+
+
+def task_rows(items: DataFrame, task: str, split: str, columns: tuple[str | None, ...], subset: tuple[str, str] | None = None) -> DataFrame:
+    """The examples of one task (and subset: a column and its value) and split with the task's text columns first; a missing column is an error."""
+    rows = items.where((F.col("task") == task) & (F.col("split") == split))
+    if subset:
+        rows = rows.where(F.col(subset[0]) == subset[1])
+    named = [c for c in columns if c]
+    if missing := [c for c in named if c not in items.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    return rows.select(*named, *[c for c in rows.columns if c not in named])
+
+
+def renamed_labels(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Label columns under their task's own names; one that is missing is an error."""
+    if missing := [c for c in names if c not in df.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    return df.withColumnsRenamed(names)
+
+
+def job_label(task: Column, seed: Column) -> Column:
+    """TASK(seed=n)."""
+    return F.concat(F.upper(task), F.lit("(seed="), seed.cast("string"), F.lit(")"))
 
 
 def choices(stem: Column, lead: Column, endings: Column) -> Column:
@@ -37,14 +70,38 @@ def padded_options(options: Column, n: int, filler: str = "NA") -> Column:
     return F.when(F.size(options) <= n, full).when(options.isNotNull(), F.raise_error(F.lit(f"more than {n} options")).cast("array<string>"))
 
 
+def collated(df: DataFrame, task: str, order: str, lists: list[str], index: str, size: int) -> DataFrame:
+    """task, number, n, and of each batch of size rows (in order of a numeric key) the lists' values and the fields of the index struct as arrays."""
+    fields = [f.name for f in df.schema[index].dataType.fields]
+    rows = position(df, order, "__n", by=[task]).withColumn("number", F.expr(f"(__n - 1) div {size}"))
+    rows = rows.withColumn(index, F.array(*[F.col(index)[f] for f in fields]))
+    held = rows.groupBy(task, "number").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("__n", *lists, index))).alias("__z"))  # at most size rows
+    return held.select(task, "number", "n", *[F.col("__z")[c].alias(c) for c in [*lists, index]])
+
+
+def _many_classes(df: DataFrame, labels: str, classes: DataFrame) -> DataFrame:
+    """multi_hot over a class list that stays distributed: the labels of each row meet their class numbers by a join."""
+    # One row a class.
+    numbered = classes.select("c", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c")) - 1).alias("__i"))
+    n = numbered.count()
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = materialise(rows, "multihot")
+    hit = rows.select("__row", F.explode(F.array_distinct(labels)).alias("c")).join(numbered.hint("merge"), "c").groupBy("__row").agg(F.collect_list("__i").alias("__hit"))
+    parts = F.transform(F.sort_array(F.coalesce("__hit", F.array().cast("array<int>"))), lambda i: i)
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(-1)), parts).alias("a"), F.concat(parts, F.array(F.lit(n))).alias("b"))
+    zeros = F.transform(bounds, lambda x: F.concat(F.array_repeat(F.lit(0.0), x["b"] - x["a"] - 1), F.when(x["b"] < n, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))))
+    return rows.join(hit.hint("merge"), "__row", "left").withColumn("multi_hot", F.flatten(zeros)).drop("__row", "__hit")
+
+
 def multi_hot(df: DataFrame, labels: str, train: Column, most_classes: int = 10_000) -> DataFrame:
     """df with multi_hot: a 1.0 for each class of the train rows (sorted) among the row's labels; other labels are ignored.
 
-    The class list comes to the driver; more than most_classes different train labels are an error.
+    Up to most_classes classes become literals of the plan; more stay a table that is joined.
     """
-    found = df.where(train).select(F.explode(labels).alias("c")).where("c is not null").distinct().limit(most_classes + 1).collect()
+    seen = df.where(train).select(F.explode(labels).alias("c")).where("c is not null").distinct()
+    found = seen.limit(most_classes + 1).collect()
     if len(found) > most_classes:
-        raise ValueError(f"more than {most_classes} classes")
+        return _many_classes(df, labels, seen)
     classes = sorted(r["c"] for r in found)
     hot = F.transform(F.array(*map(F.lit, classes)), lambda c: F.coalesce(F.array_contains(labels, c), F.lit(False)).cast("double"))
     return df.withColumn("multi_hot", hot if classes else F.array().cast("array<double>"))

@@ -29,29 +29,41 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""
-with cleaned as (select rec_id, _row_number, {canonical_source_sql("_source")} as source, {clean_sql("text")} as text, ingested_at from corpus_records),
-firsts as (select *, row_number() over (partition by sha256(text) order by rec_id, ingested_at) as r from cleaned where text is not null),
-kept as (select *, case when {unit_hash_sql(42, "rec_id")} < 0.1 then 'validation' else 'train' end as split, len({tokens_sql("text")}) as n from firsts where r = 1),
-sums as (select split, source, count(*) as documents, sum(n)::BIGINT as tokens from kept group by split, source)
-select split, source, documents, tokens, round(tokens / (sum(tokens) over (partition by split))::DOUBLE, 6) as fraction from sums""")
-def corpus_build(spark, d):
-    """Clean, keep the first of equal texts, split by hash, count tokens by split and source."""
-    rows = table(spark, d, "corpus_records").select("rec_id", "ingested_at", canonical_source(F.col("_source")).alias("source"), clean(F.col("text")).alias("text")).where("text is not null")
-    kept = corpus.hash_split(corpus.dedup_first(rows, F.sha2("text", 256), ["rec_id", "ingested_at"]), "rec_id", 0.1, 42)
+_BUILD = f"""
+with rows as (select rec_id, ingested_at, guid, text, {canonical_source_sql("_source")} as source from corpus_records where text is not null and text <> ''),
+numbered as (select *, row_number() over (partition by source order by rec_id, ingested_at) as n, coalesce(guid, sha256(text)) as key from rows),
+firsts as (select *, row_number() over (partition by key order by source nulls first, n) as r from numbered where n <= {{limit}}),
+kept as (select *, case when {unit_hash_sql(42, "coalesce(source, '') || ':' || key")} < 0.1 then 'validation' else 'train' end as split, len({tokens_sql("text")}) as t from firsts where r = 1),
+sums as (select split, source, count(*) as documents, sum(t)::BIGINT as tokens from kept group by split, source)
+select split, source, documents, tokens, round(tokens / (sum(tokens) over (partition by split))::DOUBLE, 6) as fraction from sums"""
+
+
+def _built(spark, d, limit):
+    rows = table(spark, d, "corpus_records").where("text is not null and text <> ''").withColumn("source", canonical_source(F.col("_source")))
+    kept = corpus.build(rows, "source", ["rec_id", "ingested_at"], limit, 0.1, 42)
     sums = kept.groupBy("split", "source").agg(F.count("*").alias("documents"), F.sum(F.size(tokens(F.col("text")))).alias("tokens"))
     total = F.sum("tokens").over(Window.partitionBy("split"))  # a row for each split and source
     return sums.withColumn("fraction", F.round(F.col("tokens") / total, 6))
 
 
-@query("""
-select doc_id, 0 as criterion from documents where lang is not distinct from 'he' and domain is not distinct from 'news'
-union all select doc_id, 1 from documents where lang is not distinct from 'he'
-union all select doc_id, 2 from documents where domain is not distinct from null""")
+@query(_BUILD.format(limit="9223372036854775807"))
+def corpus_build(spark, d):
+    """The first of equal records (by guid, else by the sha256 of the whole text) over all sources, a split of each source; documents and tokens by split and source."""
+    return _built(spark, d, 0)
+
+
+@query(_BUILD.format(limit=40))
+def corpus_build_limited(spark, d):
+    """corpus_build of the first 40 records of each source."""
+    return _built(spark, d, 40)
+
+
+@query("""select doc_id, count(*) as times from (select doc_id from documents where lang is not distinct from 'he' and domain is not distinct from 'news'
+union all select doc_id from documents where lang is not distinct from 'he' union all select doc_id from documents where domain is not distinct from null) group by doc_id""")
 def filter_union_all(spark, d):
     docs = table(spark, d, "documents")
     parts = [{"lang": "he", "domain": "news"}, {"lang": "he"}, {"domain": None}]
-    return corpus.union_sources([corpus.filter_union(docs.select("doc_id", "lang", "domain"), [p]) for p in parts], "criterion").select("doc_id", "criterion")
+    return corpus.filter_union(docs.select("doc_id", "lang", "domain"), parts).groupBy("doc_id").agg(F.count("*").alias("times"))
 
 
 @query("select doc_id, lang from documents where text is not null and text <> ''")
@@ -95,7 +107,7 @@ def set_intersect(spark, d):
     return used.intersect(table(spark, d, "source_catalog").select(F.col("source_name").alias("source")))
 
 
-@query("""select rec_id from (select rec_id, row_number() over (partition by sha256(text) order by rec_id, ingested_at) as r
+@query("""select rec_id from (select rec_id, row_number() over (partition by sha256(text) order by rec_id nulls first, ingested_at nulls first) as r
 from corpus_records where text is not null) where r = 1 union all select rec_id from corpus_records where text is null""")
 def dedup_first(spark, d):
     rows = table(spark, d, "corpus_records").select("rec_id", "ingested_at", "text")
@@ -147,6 +159,11 @@ def shuffle_head(spark, d):
     return corpus.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 42, 200)
 
 
+@query(f"select doc_id, row_number() over (order by {hash_order_sql(42, 'doc_id')}) - 1 as _row_number from documents")
+def shuffle_all(spark, d):
+    return corpus.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 42)
+
+
 @query(f"select doc_id, case when row_number() over (order by {hash_order_sql(12, 'doc_id')}) <= 100 then 'test' else 'train' end as split from documents")
 def fixed_test_split(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
@@ -155,10 +172,11 @@ def fixed_test_split(spark, d):
 
 
 @query(f"""with s as (select source, count(*) as n, {hash_order_sql(42, "source")} as h from documents where source is not null group by source),
-b as (select source, coalesce(sum(n) over (order by h rows between unbounded preceding and 1 preceding), 0) as before from s)
-select doc_id, source, before::BIGINT as before from documents join b using (source) where before < 300""")
+b as (select source, coalesce(sum(n) over (order by h rows between unbounded preceding and 1 preceding), 0) as before from s),
+r as (select doc_id, source, before + row_number() over (partition by source order by doc_id) - 1 as place from documents join b using (source) where before < 300)
+select doc_id, source, place::BIGINT as place from r where place < 300""")
 def shard_sample(spark, d):
-    return corpus.block_sample(table(spark, d, "documents").select("doc_id", "source"), "source", 300, 42).select("doc_id", "source", "before")
+    return corpus.block_sample(table(spark, d, "documents").select("doc_id", "source"), "source", 300, 42, "doc_id").select("doc_id", "source", "place")
 
 
 @query(f"select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as r from documents where {clean_sql('text')} is not null) where r <= 60")

@@ -126,12 +126,13 @@ def concat_fields(spark, d):
     return table(spark, d, "eval_items").select("item_id", F.sha2(tasks.concat_fields(["text_a", "text_b"]), 256).alias("joined"), F.sha2(tasks.concat_fields(["text_a", "text_b"], " [SEP] "), 256).alias("preferred"))
 
 
-@query("""select task, count(*) as n, list(c order by item_id) as batch from (select task, item_id, [[length(text_a), coalesce(length(text_b), 0)], [length(task), 0]] as c from eval_items) group by task""")
+@query("""with k as (select task, item_id, label, (row_number() over (partition by task order by item_id) - 1) // 32 as number, [[length(text_a), coalesce(length(text_b), 0)], [length(task), 0]] as c from eval_items)
+select task, number, count(*) as n, list(c order by item_id) as batch, list([item_id, coalesce(label, -100)] order by item_id) as idx from k group by task, number""")
 def mc_collate(spark, d):
+    """Batches of 32 items of a task: their choices, and their index struct (item, label) as arrays."""
     c = F.array(F.array(F.char_length("text_a"), F.coalesce(F.char_length("text_b"), F.lit(0))), F.array(F.char_length("task"), F.lit(0))).cast("array<array<bigint>>")
-    rows = table(spark, d, "eval_items").select("task", "item_id", c.alias("c"))
-    batch = F.transform(F.sort_array(F.collect_list(F.struct("item_id", "c"))), lambda x: x["c"])  # a batch of a task, fixed in size by its items
-    return rows.groupBy("task").agg(F.count("*").alias("n"), batch.alias("batch"))
+    rows = table(spark, d, "eval_items").select("task", "item_id", c.alias("c"), F.struct(F.col("item_id"), F.coalesce("label", F.lit(-100)).cast("long").alias("label")).alias("idx"))
+    return tasks.collated(rows, "task", "item_id", ["c"], "idx", 32).select("task", "number", "n", F.col("c").alias("batch"), "idx")
 
 
 @query("""with c as (select list_sort(list(distinct x)) as classes from (select unnest([lang, domain]) as x from source_catalog where lang = 'he') where x is not null)
@@ -311,23 +312,11 @@ def ndcg_at_10(spark, d):
     return metrics.ndcg(run, relevant, 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
-@query("""with t as (select vec_id, label, (vec_id // 20) * 20 as q, embedding::DOUBLE[] as e from embeddings), p as (select distinct q as query_id, label as doc_id from t),
-s as (select a.q as query_id, a.vec_id, b.label as doc_id, max(list_inner_product(a.e, b.e)) as best from t a, t b where b.vec_id % 20 = 0 group by 1, 2, 3)
-select query_id, doc_id, round(sum(best), 6) as score from s join p using (query_id, doc_id) group by 1, 2""")
-def maxsim_exact(spark, d):
-    """Each twenty rows are a query's token vectors; documents are the labels, with the rows divisible by 20 as token vectors."""
-    e = table(spark, d, "embeddings").withColumn("query_id", F.expr("vec_id div 20 * 20"))
-    q = e.select("query_id", F.col("embedding").alias("vector"))
-    docs = e.where("vec_id % 20 = 0").select(F.col("label").alias("doc_id"), F.col("embedding").alias("vector"))
-    pairs = e.select("query_id", F.col("label").alias("doc_id")).distinct()
-    return metrics.maxsim(q, docs, pairs).withColumn("score", F.round("score", 6))
-
-
 @query("""with t as (select (vec_id // 20) * 20 as query_id, vec_id, label as doc_id, embedding::DOUBLE[] as e from embeddings),
 s as (select a.query_id, a.vec_id, b.doc_id, max(list_inner_product(a.e, b.e)) as best from t a, t b group by 1, 2, 3)
 select query_id, doc_id, round(sum(best), 6) as score from s group by 1, 2""")
-def maxsim_all(spark, d):
-    """The queries of maxsim_exact against every label, each row being a token vector of its label."""
+def maxsim_exact(spark, d):
+    """Each twenty rows are a query's token vectors; documents are the labels, each row being a token vector of its label. All queries against all documents."""
     e = table(spark, d, "embeddings")
     q = e.select(F.expr("vec_id div 20 * 20").alias("query_id"), F.col("embedding").alias("vector"))
     return metrics.maxsim(q, e.select(F.col("label").alias("doc_id"), F.col("embedding").alias("vector"))).withColumn("score", F.round("score", 6))
@@ -381,19 +370,20 @@ def round2_start(spark, d):
     return rollup.start_points(runs.where(F.col("task").isin("rte", "stsb")), parents, ["model", "size", "version"], "base").select("run_id", "task", "start")
 
 
-@query("select job, task, last(metric order by metric) as metric, round(last(value order by metric), 6) as value from (select distinct job, task, metric, value from eval_results where value is not null) x where (select count(*) from (select distinct job, task, metric, value from eval_results where value is not null) y where y.job = x.job and y.task = x.task and y.metric = x.metric) = 1 group by job, task")
+@query("""with x as (select job, task, metric, max(value) as value from eval_results where value is not null group by job, task, metric)
+select job, task, last(metric order by metric) as metric, round(last(value order by metric), 6) as value from x group by job, task""")
 def collect_metrics(spark, d):
-    rows = table(spark, d, "eval_results").select("job", "task", "metric", "value").where("value is not null").distinct()
-    single = rows.groupBy("job", "task", "metric").agg(F.count("*").alias("n"), F.first("value").alias("value")).where("n = 1")
-    return rollup.last_metric(single, ["job", "task"], F.col("metric")).withColumn("value", F.round("value", 6))
+    """The last metric of each evaluation set; of repeated values of a metric the largest."""
+    rows = table(spark, d, "eval_results").where("value is not null").groupBy("job", "task", "metric").agg(F.max("value").alias("value"))
+    return rollup.last_metric(rows, ["job", "task"], F.col("metric")).withColumn("value", F.round("value", 6))
 
 
-@query("""with ids as (select label as kd_id, list(vec_id order by vec_id) as ids from embeddings group by label)
+@query("""with ids as (select vec_id // 32 as kd_id, list(vec_id order by vec_id) as ids from embeddings group by 1)
 select kd_id, list(sha256(coalesce(text, '')) order by i) as texts from (select kd_id, ids[i] + 1 as doc_id, i from (select *, unnest(range(1, len(ids) + 1)) as i from ids)) join documents using (doc_id) group by kd_id""")
 def kd_lookup(spark, d):
-    """Lists of document ids resolved to their texts, in the lists' order."""
-    groups = table(spark, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # the ids of one training row
-    flat = groups.select(F.col("label").alias("kd_id"), F.posexplode("ids").alias("i", "v")).select("kd_id", "i", (F.col("v") + 1).alias("doc_id"))
+    """Lists of at most 32 document ids resolved to their texts, in the lists' order."""
+    groups = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 32").alias("kd_id")).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    flat = groups.select("kd_id", F.posexplode("ids").alias("i", "v")).select("kd_id", "i", (F.col("v") + 1).alias("doc_id"))
     texts = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
     found = lookup_join(texts, flat, "doc_id", "inner")
     return found.groupBy("kd_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("texts"))

@@ -62,26 +62,18 @@ def concat_chunk(spark, d):
     return seq.concat_chunks(docs, "doc_id", "t", 512).select("chunk", _digest(F.col("input_ids")))
 
 
-@query(_CHUNKS.format(by="lang", bos="<s>", eos="</s>", tok=TOK, n=128, sel="g as lang, ").replace("from documents where text is not null", "from documents where text is not null and lang is not null"))
-def concat_chunk_bos_eos(spark, d):
-    docs = _docs(spark, d).where("lang is not null").withColumn("t", seq.with_specials(F.col("t"), F.lit("<s>"), F.lit("</s>")))
-    return seq.concat_chunks(docs, "doc_id", "t", 128, by=["lang"]).select("lang", "chunk", _digest(F.col("input_ids")))
-
-
 @query(_CHUNKS.format(by="lang", bos="<s>", eos="</s>", tok=TOK, n=128, sel="g as lang, "))
-def concat_chunk_bos_eos_all(spark, d):
-    """concat_chunk_bos_eos with the documents of null lang as a group of their own."""
+def concat_chunk_bos_eos(spark, d):
+    """Documents of null lang are a group of their own."""
     docs = _docs(spark, d).withColumn("t", seq.with_specials(F.col("t"), F.lit("<s>"), F.lit("</s>")))
     return seq.concat_chunks(docs, "doc_id", "t", 128, by=["lang"]).select("lang", "chunk", _digest(F.col("input_ids")))
 
 
-@query(f"""with recursive k as (select doc_id, lang, {TOK} as t, row_number() over (partition by lang order by doc_id) as r from documents where text is not null and lang is not null and len({TOK}) > 0),
-s(lang, r, buf, done) as (select lang, 0::BIGINT, []::VARCHAR[], null::VARCHAR[] from (select distinct lang from k)
-union all select s.lang, k.r, case when len(s.buf) + len(k.t) >= 1024 then [] else list_concat(s.buf, k.t) end, case when len(s.buf) + len(k.t) >= 1024 then list_concat(s.buf, k.t)[1:1024] end
-from s join k on k.lang = s.lang and k.r = s.r + 1)
-select lang, row_number() over (partition by lang order by r) - 1 as chunk, md5(array_to_string(done, ' ')) as digest from s where done is not null""")
-def concat_nowrap(spark, d):
-    return packing.concat_nowrap(_docs(spark, d).where("lang is not null"), "lang", "doc_id", "t", 1024).select("lang", "chunk", _digest(F.col("input_ids")))
+@query(_CHUNKS.format(by="0", bos="[CLS]", eos="[SEP]", tok=TOK, n=512, sel="").replace("where n = 512", "where n = 512 and chunk * 512 < 50000"))
+def concat_chunk_budget(spark, d):
+    """Only the chunks that begin before a number of tokens."""
+    docs = _docs(spark, d).withColumn("t", seq.with_specials(F.col("t"), F.lit("[CLS]"), F.lit("[SEP]")))
+    return seq.concat_chunks(docs, "doc_id", "t", 512, most_tokens=50_000).select("chunk", _digest(F.col("input_ids")))
 
 
 @query(f"""with recursive k as (select doc_id, lang, {TOK} as t, row_number() over (partition by lang order by doc_id) as r from documents where text is not null and len({TOK}) > 0),
@@ -89,8 +81,8 @@ s(lang, r, buf, done) as (select lang, 0::BIGINT, []::VARCHAR[], null::VARCHAR[]
 union all select s.lang, k.r, case when len(s.buf) + len(k.t) >= 1024 then [] else list_concat(s.buf, k.t) end, case when len(s.buf) + len(k.t) >= 1024 then list_concat(s.buf, k.t)[1:1024] end
 from s join k on k.lang is not distinct from s.lang and k.r = s.r + 1)
 select lang, row_number() over (partition by lang order by r) - 1 as chunk, md5(array_to_string(done, ' ')) as digest from s where done is not null""")
-def concat_nowrap_all(spark, d):
-    """concat_nowrap with the documents of null lang as a group of their own."""
+def concat_nowrap(spark, d):
+    """Documents of null lang are a stream of their own."""
     return packing.concat_nowrap(_docs(spark, d), "lang", "doc_id", "t", 1024).select("lang", "chunk", _digest(F.col("input_ids")))
 
 
@@ -139,7 +131,7 @@ select doc_id, sequence_id, count(*) as n from s group by 1, 2"""
 
 def _segments(spark, d, mode):
     docs = _docs(spark, d).withColumn("t", F.transform("t", lambda w: F.when(w == "של", "the").otherwise(w)))
-    return seq.segment_rows(docs, "doc_id", "t", "the", mode).groupBy("doc_id", "sequence_id").agg(F.count("*").alias("n"))
+    return seq.segment_lengths(docs, "doc_id", "t", "the", mode)
 
 
 @query(_SEGMENTS.format(tok=TOK, end="current row"))
@@ -166,8 +158,10 @@ def _padded(spark, d):
 u as (select doc_id, row, i - 1 as pos, row * 128 + i - 1 as index, t[i] as value from (select *, unnest(range(1, len(t) + 1)) as i from t))
 select doc_id, row, count(*) as n, sum(index)::BIGINT as index_sum, sum((pos + 1) * value)::BIGINT as checksum from u group by 1, 2""")
 def unpad(spark, d):
-    flat = seq.unpad(_padded(spark, d), "doc_id", "ids", "mask", width=128)
-    return flat.groupBy("doc_id", "row").agg(F.count("*").alias("n"), F.sum("index").alias("index_sum"), F.sum((F.col("pos") + 1) * F.col("value")).alias("checksum"))
+    rows = seq.unpad_rows(_padded(spark, d), "doc_id", "ids", "mask", width=128).where(F.size("pos") > 0)
+    zero = F.lit(0).cast("long")
+    weighted = F.zip_with("pos", "value", lambda p, v: (p + 1) * v)
+    return rows.select("doc_id", "row", F.size("pos").cast("long").alias("n"), F.aggregate("index", zero, lambda s, x: s + x).alias("index_sum"), F.aggregate(weighted, zero, lambda s, x: s + x).alias("checksum"))
 
 
 @query(f"select doc_id, least(len({TOK}), 128)::BIGINT as seqlen, (sum(least(len({TOK}), 128)) over (order by doc_id rows unbounded preceding))::BIGINT as cu_seqlen from documents where text is not null")
@@ -177,8 +171,8 @@ def cu_seqlens(spark, d):
 
 @query(f"select doc_id, md5(array_to_string(list_resize(list_transform({TOK}, lambda w: length(w)), 128, 0), ' ')) as digest from documents where text is not null")
 def repad(spark, d):
-    padded = _padded(spark, d)
-    return seq.repad(seq.unpad(padded, "doc_id", "ids", "mask", width=128), padded, "doc_id", 128).select("doc_id", _digest(F.col("values").cast("array<string>")))
+    rows = seq.unpad_rows(_padded(spark, d), "doc_id", "ids", "mask", numbered=False)
+    return seq.repad_rows(rows, "doc_id", 128).select("doc_id", _digest(F.col("values").cast("array<string>")))
 
 
 @query(f"select lang, sum(least(len({TOK}), 256))::BIGINT as real_tokens, round(sum(least(len({TOK}), 256)) / (count(*) * 256.0::DOUBLE), 6) as efficiency from documents where text is not null group by lang")

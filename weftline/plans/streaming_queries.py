@@ -33,7 +33,7 @@ def _stream(spark, d, name, columns):
 @query("select distinct rec_id from corpus_records")
 def stream_dedup(spark, d):
     rows = _stream(spark, d, "corpus_records", ["rec_id", "ingested_at"]).withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
-    return corpus.run_to_table(corpus.keep_first(rows, ["rec_id"], "ingested_at", "3650 days").select("rec_id"), "dedup")
+    return corpus.run_to_table(corpus.keep_first(rows, ["rec_id"], "ingested_at", "120 days").select("rec_id"), "dedup")
 
 
 @query("select split, date_trunc('day', collected_at)::VARCHAR as day, count(*) as n from corpus_records where collected_at is not null group by 1, 2")

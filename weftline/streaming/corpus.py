@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +35,10 @@ def chunks(stream: DataFrame, shard: str, order: str, ids: str, length: int) ->
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, rest = state.get if state.exists else (0, [])
         rows = pd.concat(list(batches)).sort_values(order)
-        tokens = list(rest)
-        out = []
-        for x in rows[ids]:
-            tokens.extend([] if x is None else x)
-            while len(tokens) >= length:
-                out.append((key[0], number, tokens[:length]))
-                tokens = tokens[length:]
-                number += 1
-        state.update((number, [int(t) for t in tokens]))
+        tokens = np.concatenate([np.asarray(rest, np.int64), *[np.asarray(x, np.int64) for x in rows[ids] if x is not None]])
+        full = len(tokens) // length
+        out = [(key[0], number + i, tokens[i * length : (i + 1) * length].tolist()) for i in range(full)]
+        state.update((number + full, tokens[full * length :].tolist()))
         if out:
             yield pd.DataFrame({"s": [o[0] for o in out], "c": [o[1] for o in out], "i": pd.Series([o[2] for o in out], dtype=object)}).set_axis([shard, "chunk", "input_ids"], axis=1)
 
