@@ -42,10 +42,12 @@ class PackConfig:
     drop_last: bool = True
 
     @classmethod
-    def from_batch(cls, batch_size: int, micro_batch: int, max_seq_len: int, buffer_size: int, source_batch: int, **more) -> PackConfig:
-        """bins = batch_size / micro_batch rows of micro_batch * max_seq_len tokens."""
+    def from_batch(cls, batch_size: int, micro_batch: int, max_seq_len: int, buffer_size: int, source_batch: int, warmup_least: int | None = None, **more) -> PackConfig:
+        """bins = batch_size / micro_batch rows of micro_batch * max_seq_len tokens; warmup_least is the batch size a warm-up begins with."""
         if batch_size % micro_batch:
             raise ValueError("batch_size is a multiple of micro_batch")
+        if warmup_least is not None and warmup_least % micro_batch:
+            raise ValueError("the batch size a warm-up begins with is a multiple of micro_batch")
         return cls(source_batch, batch_size // micro_batch, micro_batch * max_seq_len, buffer_size, **more)
 
 
@@ -189,9 +191,15 @@ def concat_nowrap(df: DataFrame, shard: str, key: str, ids: str, length: int) ->
 
 
 def split_packed(packed: DataFrame, rows_per_micro: int, tolerance: float = 1.0, pad: int = -1) -> DataFrame:
-    """packed with micro (which micro-batch of its batch a row is in); rows with more than tolerance of pads lose them and the last bound."""
-    last = F.size("input_ids") - F.coalesce(F.array_position(F.transform(F.reverse("input_ids"), lambda x: (x != pad).cast("int")), 1).cast("int") - 1, F.size("input_ids"))
-    strip = (F.size("input_ids") - last) > F.size("input_ids") * F.lit(tolerance)
+    """packed with micro (which micro-batch of its batch a row is in); rows with more than tolerance of pads lose those after the last real token, and the last bound.
+
+    Pads are read from the attention mask (masking may have written over them in the ids),
+    where there is none from the ids.
+    """
+    mask = F.coalesce("attention_mask", F.transform("input_ids", lambda x: (x != pad).cast("int")))
+    real = F.aggregate(mask, F.lit(0), lambda s, x: s + x)
+    last = F.size(mask) - F.coalesce(F.nullif(F.array_position(F.reverse(mask), 1), F.lit(0)).cast("int") - 1, F.size(mask))
+    strip = F.size(mask) - real > F.size(mask) * F.lit(tolerance)
 
     def cut(c: str) -> Column:
         return F.when(strip, F.slice(c, F.lit(1), last)).otherwise(F.col(c))

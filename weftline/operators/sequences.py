@@ -99,12 +99,15 @@ def segment_rows(df: DataFrame, key: str, ids: str, separator, mode: str) -> Dat
 def hash_mask(df: DataFrame, key: str, ids: str, rate: float, mask: int, pad: int, vocabulary: int, seed: int) -> DataFrame:
     """df with masked_ids and labels: each token is chosen with probability rate; of those 80 % become mask, 10 % another id, 10 % stay.
 
-    The draw is a hash of seed, key and place, the same whatever the partitioning. Pads are
-    never chosen; labels are IGNORE elsewhere.
+    The draw depends on seed, the integer key and the place alone, whatever the partitioning.
+    Pads are never chosen; labels are IGNORE elsewhere.
     """
 
     def unit(i: Column, salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed + salt), F.col(key), i), F.lit(1 << 32)) / F.lit(float(1 << 32))
+        # Two rounds of a quadratic congruence modulo a prime, in 64-bit integers.
+        prime = 2147483647
+        x = (F.pmod(F.col(key), F.lit(prime)) * 48271 + i.cast("long") * 69621 + (seed + salt) * 16807 + 1) % prime
+        return ((x * x + 12345 + i) % prime * 630360016 + x) % prime / F.lit(float(prime))
 
     def masked(x: Column, i: Column) -> Column:
         u = unit(i, 0)

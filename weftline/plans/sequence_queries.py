@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.texts import tokens, tokens_sql
+from ..functions import tokenizers
 from ..operators import driver, packing
 from ..operators import sequences as seq
-from .shared import table
+from ..sources import sinks
+from .shared import scratch, table
 
 QUERIES, SQL = {}, {}
 TOK = tokens_sql("text")
@@ -42,6 +44,30 @@ def token_count(spark, d):
     return _docs(spark, d).select("doc_id", n.alias("n"), F.least(n + 2, F.lit(8192)).alias("n_with_specials"))
 
 
+@query()
+def tokenize_ids(spark, d):
+    """Ids of a public tokenizer between bos and eos, cut and padded to 128."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return tokenizers.token_ids(docs, ["doc_id"], tokenizers.read_tokenizer(spark), bos=50256, eos=50256, length=128, pad=50257, padded=True)
+
+
+@query()
+def token_id_counts(spark, d):
+    """Tokens of a public tokenizer, with two specials and at most 8192 of them, and bare."""
+    docs = table(spark, d, "documents").where("text is not null")
+    bare = tokenizers.token_counts(docs, ["doc_id"], tokenizers.read_tokenizer(spark))
+    return bare.select("doc_id", F.col("n_tokens").alias("n"), F.least(F.col("n_tokens") + 2, F.lit(8192)).alias("n_with_specials"))
+
+
+@query()
+def tokenize_write(spark, d):
+    """Whole texts' ids written as shards and read back."""
+    docs = table(spark, d, "documents").where("text is not null")
+    ids = tokenizers.token_ids(docs, ["doc_id"], tokenizers.read_tokenizer(spark))
+    written = sinks.write_shards(ids, scratch(spark, "ids"), ["doc_id", "input_ids"], 10_000)
+    return written.select("doc_id", F.size("input_ids").cast("long").alias("n"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
+
+
 @query(f"""with t as (select doc_id, {TOK} as t from documents where text is not null),
 b as (select doc_id, case when t[1] is not distinct from 'The' then t else list_concat(['The'], t) end as t from t)
 select doc_id, md5(array_to_string(case when t[-1] = '</s>' then t else list_concat(t[1:127], ['</s>']) end, ' ')) as digest from b""")
@@ -105,6 +131,15 @@ def split_packed(spark, d):
     return packing.split_packed(pack_best_fit(spark, d), 2, 0.2, 0)
 
 
+@query(f"""with n as (select doc_id % 8 as rank, len({TOK}) as n from documents where text is not null)
+select rank::INTEGER as rank, sum(n)::BIGINT as tokens, 0::BIGINT as loose_rows from n where n > 0 group by 1""")
+def split_tokens(spark, d):
+    """Tokens of each rank's micro-batches, and rows that kept more than a fifth of pads (none)."""
+    real = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, x: s + x)
+    loose = F.size("input_ids") - real > F.size("input_ids") * F.lit(0.2)
+    return split_packed(spark, d).groupBy("rank").agg(F.sum(real).alias("tokens"), F.sum(loose.cast("long")).alias("loose_rows"))
+
+
 @query("""with b as (select unnest(range(32, 128)) as b), w as (select b, 1 + b - 32 as k, sum(b) over (order by b rows unbounded preceding) as c, (select sum(x) from (select unnest(range(32, 128)) as x)) as s from b),
 t as (select k, ceil(ceil(1000000 / 4.0) / s * c)::BIGINT as reached from w)
 select step, 32 + (select count(*) from t where reached <= step) as batch_size from (select unnest(range(0, 5001)) * 60 as step)""")
@@ -112,10 +147,24 @@ def batch_warmup(spark, d):
     return spark.range(5001).select((F.col("id") * 60).alias("step")).select("step", seq.warmup_batch_size(F.col("step"), 32, 128, 1_000_000, 4).cast("long").alias("batch_size"))
 
 
-@query()
+_DRAW = "((({x} * {x} + 12345 + {i}) % 2147483647) * 630360016 + {x}) % 2147483647 / 2147483647.0::DOUBLE"
+_START = "((doc_id % 2147483647) * 48271 + {i} * 69621 + {salt} * 16807 + 1) % 2147483647"
+
+
+@query(f"""with x as (select doc_id, i - 1 as i, length(t[i]) + 5 as x from (select doc_id, t, unnest(range(1, len(t) + 1)) as i from (select doc_id, {TOK} as t from documents where text is not null))),
+s as (select *, {_START.format(i="i", salt=42)} as a, {_START.format(i="i", salt=43)} as b from x),
+u as (select *, {_DRAW.format(x="a", i="i")} as u, floor({_DRAW.format(x="b", i="i")} * 3000)::BIGINT as other from s)
+select doc_id, count(*) filter (u < 0.3) as chosen, sum((i + 1) * case when u >= 0.3 then x when u < 0.24 then 4 when u < 0.27 then other else x end)::BIGINT as ids_sum,
+sum((i + 1) * case when u < 0.3 then x else -100 end)::BIGINT as labels_sum from u group by doc_id""")
 def mlm_mask(spark, d):
-    docs = seq.hash_mask(_id_docs(spark, d), "doc_id", "ids", 0.3, 4, 0, 3000, 42)
-    return docs.select("doc_id", "masked_ids", "labels")
+    """Tokens chosen, and sums over the places of the masked ids and the labels."""
+    docs = seq.hash_mask(_id_docs(spark, d), "doc_id", "ids", 0.3, 4, 0, 3000, 42).where(F.size("ids") > 0)
+    zero = F.lit(0).cast("long")
+
+    def total(c):
+        return F.aggregate(F.transform(c, lambda x, i: (i + 1) * x), zero, lambda s, x: s + x)
+
+    return docs.select("doc_id", F.size(F.filter("labels", lambda x: x != seq.IGNORE)).cast("long").alias("chosen"), total("masked_ids").alias("ids_sum"), total("labels").alias("labels_sum"))
 
 
 @query(f"select doc_id, list_transform(list_resize(list_transform({TOK}, lambda w: 1), 64, 0)[1:64], lambda x: x::INTEGER) as attention_mask from documents where text is not null")
@@ -182,10 +231,13 @@ def packing_efficiency(spark, d):
     return rows.groupBy("lang").agg(F.sum("real").alias("real_tokens"), F.round(F.sum("real") / F.sum("size"), 6).alias("efficiency"))
 
 
-@query()
+@query(f"""with n as (select doc_id % 8 as rank, len({TOK}) as n from documents where text is not null)
+select rank::INTEGER as rank, sum(n)::BIGINT as tokens, sum(ceil(n / 1024.0))::BIGINT as sequences from n where n > 0 group by 1""")
 def packed_samples(spark, d):
-    """Sequences in each rank's packed batches, the padding segment counted as one."""
-    return pack_best_fit(spark, d).groupBy("rank").agg(F.sum(F.size("cu_seqlens") - 1).alias("samples"), F.count("*").alias("rows"))
+    """Tokens and sequences in each rank's packed batches, without the padding segments: every piece of every document once."""
+    real = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, x: s + x)
+    segments = F.size("cu_seqlens") - 1 - (real < F.size("input_ids")).cast("int")
+    return pack_best_fit(spark, d).groupBy("rank").agg(F.sum(real).alias("tokens"), F.sum(segments).cast("long").alias("sequences"))
 
 
 @query(f"select doc_id, len({TOK}[1:256])::BIGINT as n, coalesce(list_sum(list_transform({TOK}[1:256], lambda w: length(w) + 5)), 0)::BIGINT as checksum from documents where text is not null")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode, where it is unset, a temporary one. A cluster without one is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_weftline_dir", None)
     if own is None:
         holder = tempfile.TemporaryDirectory(prefix="weftline-")
@@ -32,26 +35,56 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the session's driver ends."""
+    path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
+    made = getattr(spark, "_weftline_made", None)
+    if made is None:
+        made = spark._weftline_made = set()
+        atexit.register(_clear, spark)
+    made.add(path)
+    return path
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    getattr(spark, "_weftline_made", set()).discard(name)
+
+
+def _clear(spark: SparkSession) -> None:
+    for name in list(spark._weftline_made):
+        try:
+            _delete(spark, name)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            return
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table materialised so far in this session; for long sessions, between queries whose results were read."""
+    for name in list(getattr(spark, "_weftline_made", ())):
+        _delete(spark, name)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage in a way that survives the loss of executors, and keeps
-    Python stages from running twice where their result is used twice.
+    Python stages from running twice where their result is used twice. The table is
+    deleted by discard or release, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = name.rsplit("/", 1)[0]
-        if "/weftline-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if path := getattr(df, "_weftline_path", None):
+        _delete(df.sparkSession, path)
 
 
 def byte_size(df: DataFrame, column: str | None = None) -> int:
