@@ -23,7 +23,7 @@ from ..plans.shared import materialise
 from .tokens import TOKENIZER, TOKENIZER_DIR, with_token_counts
 
 OVERHEAD = 8  # what opening a bin costs besides its size, in tokens
-RANK_SLICES = 64  # each length's items are ranked in so many independent slices
+ROWS_OF_SLICE, MOST_SLICES = 20_000, 10_000  # items of the commonest length that are ranked in one independent slice, and the most slices
 
 PLACED = T.StructType(
     [T.StructField("plan", T.StringType()), T.StructField("container", T.LongType()), T.StructField("opened", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("used", T.IntegerType())]
@@ -113,13 +113,13 @@ def items(counted: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.select("plan", "doc_id", F.col("piece").cast("int").alias("piece"), tokens.cast("int").alias("tokens"), (tokens + F.col("specials")).cast("int").alias("length"))
 
 
-def ranked(rows: DataFrame) -> DataFrame:
+def ranked(rows: DataFrame, slices: int) -> DataFrame:
     """rows with rank: 0, 1, ... within plan and length.
 
-    Each length is ranked in RANK_SLICES slices by hash and shifted by the counts of the slices before,
+    Each length is ranked in slices by hash and shifted by the counts of the slices before,
     so a length that a third of the items have is spread over many tasks.
     """
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SLICES)))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
     keys = ["plan", "length"]
     sizes = rows.groupBy(*keys, "slice").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -145,7 +145,8 @@ def pack(counted: DataFrame, windows: DataFrame, overhead: int = OVERHEAD) -> Da
         opened = sizes if name == "joint" else [capacities[name]]
         plans[name] = Plan(counts[: max(opened) + 1], opened, [s for s in sizes if s <= max(opened)], overhead)
     shared = spark.sparkContext.broadcast(plans)
-    ranks = ranked(rows)
+    commonest = max((int(c.max()) for c in histogram.values()), default=0)
+    ranks = ranked(rows, max(1, min(MOST_SLICES, -(-commonest // ROWS_OF_SLICE))))
     schema = T.StructType(PLACED.fields + [f for f in ranks.schema.fields if f.name in ("doc_id", "piece", "tokens", "length")])
     target, names = to_arrow_schema(schema), [f.name for f in schema.fields]
 
@@ -170,7 +171,8 @@ def packed_documents(documents: DataFrame, windows: DataFrame, tokenizer: str =
 
 
 def usage(placed: DataFrame) -> DataFrame:
-    """By plan and final size: containers, items, tokens held, share of room unused."""
-    bins = placed.groupBy("plan", "size", "container").agg(F.count("*").alias("items"), F.sum("length").alias("held"))
-    out = bins.groupBy("plan", "size").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("held").alias("held"))
-    return out.withColumn("unused_share", F.round(1 - F.col("held") / (F.col("containers") * F.col("size")), 6))
+    """By plan and final size: containers, items, tokens held, share of room unused, and share unused of the sizes the bins were opened in."""
+    bins = placed.groupBy("plan", "size", "opened", "container").agg(F.count("*").alias("items"), F.sum("length").alias("held"))
+    out = bins.groupBy("plan", "size").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("held").alias("held"), F.sum("opened").alias("__opened"))
+    out = out.withColumn("unused_share", F.round(1 - F.col("held") / (F.col("containers") * F.col("size")), 6))
+    return out.withColumn("unused_of_opened", F.round(1 - F.col("held") / F.col("__opened"), 6)).drop("__opened")

@@ -6,76 +6,29 @@ are summed over the cube of source, language and domain.
 
 from __future__ import annotations
 
-import base64
-import importlib.util
-import os
-from collections.abc import Callable, Iterator
-from pathlib import Path
-
-import numpy as np
-import pyarrow as pa
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import tokenizers
 from ..functions.names import canonical_source
 from ..plans.shared import lookup_join
 
 #: Folder of the public tokenizer files, and the file used by default; both are parameters.
-TOKENIZER_DIR = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
-TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-
-_LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
+TOKENIZER_DIR, TOKENIZER = tokenizers.FOLDER, tokenizers.DEFAULT
 
 
 def counter(path: str) -> Callable[[list[str]], list[int]]:
-    """A function from texts to token counts, loaded once per process from a tokenizer file."""
-    if path not in _LOADED:
-        if path.endswith(".tiktoken"):
-            import tiktoken
-
-            with open(path, "rb") as lines:
-                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            encoding = tiktoken.Encoding("own", pat_str=_pattern(path), mergeable_ranks=ranks, special_tokens={})
-            _LOADED[path] = lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
-        elif path.endswith(".model"):
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _LOADED[path] = lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
-        else:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            _LOADED[path] = lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    return _LOADED[path]
-
-
-def _pattern(path: str) -> str:
-    """The pre-tokenisation pattern that the tokenizer folder's own module names."""
-    spec = importlib.util.spec_from_file_location("tokenizer_files", Path(path).parent / "__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
-
-
-def with_token_counts(df: DataFrame, keep: list[str], tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR, text: str = "text") -> DataFrame:
+    """A function from texts to token counts, from a tokenizer file on this machine."""
+    with open(path, "rb") as f:
+        encode = tokenizers.TokenizerFile(path.rsplit(".", 1)[-1], f.read()).encoder()
+    return lambda texts: [len(ids) for ids in encode(texts)]
+
+
+def with_token_counts(df: DataFrame, keep: list[str], tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR, text: str = "text", pattern: str = tokenizers.PATTERN) -> DataFrame:
     """keep columns and n_tokens of each text; a null text has null tokens, an empty one none."""
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType())])
-    target, path = to_arrow_schema(schema), f"{folder}/{tokenizer}"
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            n = np.array(count([t or "" for t in texts]), np.int64)
-            cols = [batch.column(i) for i in range(len(keep))] + [pa.array(n, mask=np.array([t is None for t in texts], bool))]
-            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(cols, target)], schema=target)
-
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(go, schema)
+    return tokenizers.token_counts(df, keep, tokenizers.read_tokenizer(df.sparkSession, tokenizer, folder, pattern), text)
 
 
 def record_tokens(records: DataFrame, catalog: DataFrame, tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
