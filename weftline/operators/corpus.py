@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import hash_order, unit_hash
@@ -123,6 +123,25 @@ def top_per_shard(df: DataFrame, shard: str, key: str, n: int) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(shard).orderBy(key))).where(F.col("__rn") <= n).drop("__rn")
 
 
+def document_sample(df: DataFrame, shard: str, key: str, text: str, n: int, shards: int = 50, per_shard: int = 60, seed: int = 5) -> DataFrame:
+    """Of at most shards shards (by hash) the first per_shard rows in order of key; those with text, the first n of them in (shard, key) order."""
+    names = df.where(F.col(shard).isNotNull()).select(shard).distinct().withColumn("__h", hash_order(seed, F.col(shard))).orderBy("__h").limit(shards)
+    rows = top_per_shard(df.join(F.broadcast(names), shard), shard, key, per_shard)  # the limit bounds the broadcast side
+    return rows.where(F.col(text).isNotNull() & (F.col(text) != "")).orderBy("__h", key).limit(n).drop("__h")
+
+
+def synthetic_lengths(spark: SparkSession, rows: int, mean: float, sd: float, least: int, most: int, vocabulary: int = 1000) -> DataFrame:
+    """id, n, input_ids, labels: normal lengths kept within least and most, tokens and labels (7 in 10 are -100) that follow from id and place."""
+
+    def unit(name: str) -> Column:
+        return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{name}:"), F.col("id")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+    z = F.sqrt(-2 * F.log(1 - unit("a"))) * F.cos(F.lit(6.283185307179586) * unit("b"))
+    made = spark.range(rows).withColumn("n", F.least(F.greatest(F.floor(z * sd + mean), F.lit(least)), F.lit(most)))
+    made = made.withColumn("input_ids", F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: (F.col("id") * 31 + i * 17) % vocabulary))
+    return made.withColumn("labels", F.transform("input_ids", lambda x, i: F.when((F.col("id") * 7 + (i + 1) * 13) % 10 < 7, F.lit(-100).cast("long")).otherwise(x)))
+
+
 def rank_shards(df: DataFrame, key: str, ranks: int, drop_last: bool = False) -> DataFrame:
     """pos (from 0) and rank of each row: position modulo ranks; the end is padded by wrapping round to the first rows, or dropped.
 

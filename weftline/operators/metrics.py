@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,43 @@ def masked_accuracy(label: Column, pred: Column, ignore: int = -100) -> Column:
     return F.avg(F.when(label != ignore, (label == pred).cast("double")))
 
 
+def argmax(logits: Column) -> Column:
+    """The class (from 0) of the largest logit, the first of equal ones; null for null or empty logits."""
+    return F.nullif(F.array_position(logits, F.array_max(logits)), F.lit(0)).cast("int") - 1
+
+
+def cross_entropy(logits: Column, label: Column, ignore: int = -100) -> Column:
+    """Mean cross-entropy of labels under the softmax of logits, over rows whose label is not ignore."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top.cast("double")))
+    return F.avg(F.when(label != ignore, F.log(total) + top.cast("double") - F.get(logits, label).cast("double")))
+
+
+def pearson(a: Column, b: Column) -> Column:
+    return F.corr(a, b)
+
+
+def multilabel(df: DataFrame, by: list[str], labels: str, scores: str, threshold: float = 0.5) -> DataFrame:
+    """by, accuracy and f1 over all labels of all rows together; labels (0 or 1) and scores are arrays of equal length. Rows are counted in place."""
+    hit = F.zip_with(labels, scores, lambda t, p: F.struct((t == 1).alias("t"), (p >= threshold).alias("p")))
+
+    def count(of) -> Column:
+        return F.sum(F.size(F.filter(hit, of)))
+
+    both, wrong = count(lambda x: x["t"] & x["p"]), count(lambda x: x["t"] != x["p"])
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.size(labels)) - wrong, F.sum(F.size(labels))).alias("accuracy"), F.try_divide(2 * both, 2 * both + wrong).alias("f1"))
+
+
+def task_scores(df: DataFrame, task: str, registry: dict[str, list[str]], label: str = "label", pred: str = "pred", score: str = "score") -> DataFrame:
+    """task, metric, value: of each task the metrics that the registry names (accuracy, f1, mcc, spearman, macro_f1); tasks it lacks have none."""
+    known = df.where(F.col(task).isin(list(registry)))
+    plain = known.groupBy(task).agg(accuracy(F.col(label), F.col(pred)).alias("accuracy"), f1(F.col(label), F.col(pred)).alias("f1"))
+    parts = [plain, matthews(known, [task], label, pred), macro_f1(known, [task], label, pred).select(task, "macro_f1"), spearman(known.where(F.col(score).isNotNull()), [task], label, score)]
+    every = [p.select(task, F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for p in parts for c in p.columns if c != task]
+    wanted = [F.when(F.col(task) == t, F.col("metric").isin(names)) for t, names in registry.items()]
+    return reduce(DataFrame.unionByName, every).where(F.coalesce(*wanted, F.lit(False)))
+
+
 def matthews(df: DataFrame, by: list[str], label: str = "label", pred: str = "pred") -> DataFrame:
     """by and mcc: the multiclass correlation coefficient, 0 where it is undefined. Works on confusion counts."""
     cells = df.groupBy(*by, label, pred).agg(F.count("*").alias("n"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +10,7 @@ from ..functions.texts import clean, clean_sql, hash_order_sql, tokens, tokens_s
 from ..operators import corpus
 from ..sources import jsonl, sinks
 from .ordered import position, running_total
-from .shared import shared_dir, table
+from .shared import scratch, table
 
 QUERIES, SQL = {}, {}
 
@@ -185,6 +181,15 @@ def topk_per_shard(spark, d):
     return corpus.top_per_shard(rows, "source", "doc_id", 60)
 
 
+@query(f"""with s as (select source from (select distinct source from documents where source is not null) order by {hash_order_sql(5, "source")} limit 50),
+r as (select source, doc_id, row_number() over (partition by source order by doc_id) as r from documents join s using (source)),
+k as (select *, {hash_order_sql(5, "source")} as h from r join documents using (doc_id, source) where r <= 60 and {clean_sql("text")} is not null)
+select source, doc_id from k order by h, doc_id limit 200""")
+def doc_sample(spark, d):
+    """Of at most 50 shards the first 60 rows, those with text, the first 200 of them in shard order."""
+    return corpus.document_sample(table(spark, d, "documents").withColumn("text", clean(F.col("text"))), "source", "doc_id", "text", 200, seed=5).select("source", "doc_id")
+
+
 @query(f"""select doc_id, _source, _row_number, digest from (select doc_id, 'docs' as _source, sha256(text) as digest, row_number() over (order by substr({hash_order_sql(42, "doc_id")}, 1, 15), doc_id) - 1 as _row_number
 from documents where lang = 'he') where _row_number < 250""")
 def src_parquet_filter_shuffle(spark, d):
@@ -215,12 +220,32 @@ def make_passage(spark, d):
     return position(rows, "item_id", "n").select("item_id", "digest", (F.col("n") - 1).alias("int_id"))
 
 
-@query()
+_U = "((('0x' || substr(sha256('{0}:' || id), 1, 8))::BIGINT) / 4294967296.0::DOUBLE)"
+_Z = f"(sqrt(-2 * ln(1 - {_U.format('a')})) * cos(6.283185307179586::DOUBLE * {_U.format('b')}))"
+
+
+def _synth_sql(mean: int, sd: int, least: int, most: int, rows: int) -> str:
+    return f"""with n as (select id, least(greatest(floor({_Z} * {sd} + {mean})::BIGINT, {least}), {most}) as n from (select unnest(range(0, {rows})) as id)),
+x as (select id, n, unnest(range(1, n + 1)) as i from n)
+select id, n, sum((id * 31 + i * 17) % 1000)::BIGINT as ids_sum, count(*) filter ((id * 7 + i * 13) % 10 < 7) as ignored from x group by id, n"""
+
+
+def _synth(spark, mean, sd, least, most, rows):
+    made = corpus.synthetic_lengths(spark, rows, mean, sd, least, most)
+    zero = F.lit(0).cast("long")
+    return made.select("id", "n", F.aggregate("input_ids", zero, lambda s, x: s + x).alias("ids_sum"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("ignored"))
+
+
+@query(_synth_sql(256, 64, 16, 512, 8192))
 def synth_lengths(spark, d):
-    """Normal lengths (256, 64) kept within 16 and 512, and a token matrix of each; the seed is the row."""
-    z = F.sqrt(-2 * F.log(1 - F.conv(F.substring(F.sha2(F.concat(F.lit("a:"), F.col("id")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0))
-    z = z * F.cos(F.lit(6.283185307179586) * F.conv(F.substring(F.sha2(F.concat(F.lit("b:"), F.col("id")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0)
-    return spark.range(8192).withColumn("n", F.least(F.greatest((z * 64 + 256).cast("int"), F.lit(16)), F.lit(512))).select("id", "n", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.pmod(F.xxhash64("id", i), F.lit(1000))).alias("input_ids"))
+    """Normal lengths (256, 64) kept within 16 and 512, a token matrix of each and labels of which 7 in 10 are ignored."""
+    return _synth(spark, 256, 64, 16, 512, 8192)
+
+
+@query(_synth_sql(4096, 1024, 16, 8192, 512))
+def synth_long_lengths(spark, d):
+    """Normal lengths (4096, 1024) kept within 16 and 8192."""
+    return _synth(spark, 4096, 1024, 16, 8192, 512)
 
 
 @query("select run_id, name from tracker_runs where state = 'finished' and contains(name, 'task=')")
@@ -228,23 +253,39 @@ def runs_filter(spark, d):
     return table(spark, d, "tracker_runs").where("state = 'finished'").where(F.contains(F.col("name"), F.lit("task="))).select("run_id", "name")
 
 
-@query("select row_number() over (order by doc_id) - 1 as _row_number, sha256(text) as digest, 'docs_part.jsonl' as _source from documents where text is not null")
+@query("select file, row_number() over (partition by file order by doc_id) - 1 as _row_number, sha256(text) as digest from (select doc_id, text, doc_id % 3 as file from documents where text is not null)")
 def src_jsonl(spark, d):
-    """Documents written as one JSON-lines file and scanned back with exact line numbers."""
-    out = f"{shared_dir(spark).removeprefix('file://')}/weftline-jsonl-{uuid.uuid4().hex}"
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    docs.orderBy("doc_id").coalesce(1).select(F.to_json(F.struct("text")).alias("value")).write.text(out)
-    os.rename(sorted(glob.glob(f"{out}/part-*"))[0], f"{out}/part.jsonl")
-    rows = jsonl.read_jsonl(spark, "docs", [out], compute_guid=True)
-    return rows.select("_row_number", F.col("guid").alias("digest"), "_source")
+    """Documents written as three JSON-lines files and scanned back with exact line numbers."""
+    folder = scratch(spark, "jsonl")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", (F.col("doc_id") % 3).alias("file"), F.to_json(F.struct("text")).alias("value"))
+    for k in range(3):
+        jsonl.write_lines(docs.where(F.col("file") == k).select("doc_id", "value"), "doc_id", "value", f"{folder}/part{k}.jsonl")
+    rows = jsonl.read_jsonl(spark, "docs", [folder], compute_guid=True)
+    return rows.select(F.col("file_idx").cast("long").alias("file"), "_row_number", F.col("guid").alias("digest"))
 
 
 @query("select doc_id, lang, sha256(text) as digest from documents")
 def sink_roundtrip(spark, d):
-    out = f"{shared_dir(spark)}/weftline-sink-{uuid.uuid4().hex}"
+    out = scratch(spark, "sink")
     return sinks.write_shards(table(spark, d, "documents"), out, ["doc_id", "lang", "text"], 1000).select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
 
 
+@query("select source, count(*) as documents, sum(length(text))::BIGINT as chars from documents where source is not null group by source")
+def result_files(spark, d):
+    """Figures by source written as CSV and as JSON, and read back from both."""
+    rows = table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.char_length("text")).alias("chars"))
+    both = [sinks.write_results(rows, scratch(spark, kind), kind) for kind in ("csv", "json")]
+    return both[0].join(both[1], ["source", "documents", "chars"])
+
+
+@query("select doc_id, lang, sha256(text) as digest from documents")
+def indexed_shards(spark, d):
+    """Documents written as shards with an index and read back after it was checked."""
+    out = scratch(spark, "shards")
+    sinks.write_indexed(table(spark, d, "documents").select("doc_id", "lang", "text"), out, 400)
+    return sinks.read_indexed(spark, out).select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
+
+
 @query("select source_name, '{\"source_name\":\"' || source_name || '\",\"domain\":' || coalesce('\"' || domain || '\"', 'null') || '}' as line from source_catalog")
 def to_jsonl_rows(spark, d):
     rows = table(spark, d, "source_catalog")
@@ -258,7 +299,7 @@ def txt_lines(spark, d):
 
 @query(f"select case when {unit_hash_sql(42, 'doc_id')} < 0.1 then 'validation' else 'train' end as split, count(*) as n from documents group by 1")
 def split_counts(spark, d):
-    out = f"{shared_dir(spark)}/weftline-splits-{uuid.uuid4().hex}"
+    out = scratch(spark, "splits")
     return sinks.write_splits(corpus.hash_split(table(spark, d, "documents"), "doc_id", 0.1, 42), out, ["doc_id", "text"])
 
 

@@ -58,10 +58,11 @@ def ledger_totals(spark, d):
     return ledger.agg(F.sum("b").alias("total_bytes"), F.sum("n").alias("instances"))
 
 
-@query("select event_type, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE * 1e6, 6) as per_second, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from events group by event_type")
+@query("select event_type, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE * 1e6, 6) as per_second, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE * 1e6 / 149.0::DOUBLE, 9) as per_second_per_million, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from events group by event_type")
 def throughput(spark, d):
     seconds = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))).cast("double") / 1e6
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.count("*") / seconds, 6).alias("per_second"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    parameters = 149.0  # millions, of the model whose speed is told
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.count("*") / seconds, 6).alias("per_second"), F.round(F.count("*") / seconds / parameters, 9).alias("per_second_per_million"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
 @query(f"""with t as (select doc_id, lang, text, {tokens_sql('text')} as t from documents where text is not null),
@@ -142,6 +143,20 @@ def multi_hot(spark, d):
     return tasks.multi_hot(rows, "labels", F.col("lang") == "he").select("source_name", "multi_hot")
 
 
+@query("""select text_a as premise_digest, text_b as hypothesis_digest, item_id, gold from (select sha256(text_a) as text_a, sha256(text_b) as text_b, item_id, label as gold from eval_items where task = (select min(task) from eval_items) and split = 'validation')""")
+def task_dataset(spark, d):
+    """One task's validation examples with its text columns first and its label under the task's own name."""
+    items = table(spark, d, "eval_items")
+    task = items.agg(F.min("task")).first()[0]
+    rows = tasks.renamed_labels(tasks.task_rows(items.withColumnsRenamed({"text_a": "premise", "text_b": "hypothesis"}), task, "validation", tasks.task_columns("mnli")), {"label": "gold"})
+    return rows.select(F.sha2("premise", 256).alias("premise_digest"), F.sha2("hypothesis", 256).alias("hypothesis_digest"), "item_id", "gold")
+
+
+@query("select distinct task, seed, upper(task) || '(seed=' || seed || ')' as label from eval_results")
+def job_labels(spark, d):
+    return table(spark, d, "eval_results").select("task", "seed", tasks.job_label(F.col("task"), F.col("seed")).alias("label")).distinct()
+
+
 @query("select item_id, upper(lang) as lang_name, upper(coalesce(task, '')) as task_name from eval_items")
 def label_maps(spark, d):
     ids, _ = tasks.label_maps(F.array("lang", "task"))
@@ -260,12 +275,49 @@ def metric_masked_acc(spark, d):
     return rows.groupBy("task").agg(F.round(metrics.masked_accuracy(F.col("label"), F.col("pred")), 6).alias("masked_accuracy"), F.count("*").alias("n"))
 
 
-@query(f"""with l as (select paragraph, question, [label, pred] as t, [(score >= 0.5)::INT, pred] as p from {_P} where score is not null), x as (select unnest(t) as t, unnest(p) as p from l)
-select round(avg((t = p)::INT), 6) as ml_accuracy, round(2 * sum((t = 1 and p = 1)::INT) / (2 * sum((t = 1 and p = 1)::INT) + sum((t <> p)::INT))::DOUBLE, 6) as ml_f1 from x""")
+@query("""with x as (select vec_id % 3 as part, list_transform(range(0, len(embedding)), lambda i: ((vec_id + i) % 5 = 0)::INT) as t, list_transform(embedding, lambda x: (1 / (1 + exp(-x::DOUBLE)) >= 0.5)::INT) as p from embeddings),
+u as (select part, unnest(t) as t, unnest(p) as p from x)
+select part, round(avg((t = p)::INT), 6) as ml_accuracy, round(2 * sum((t = 1 and p = 1)::INT) / (2 * sum((t = 1 and p = 1)::INT) + sum((t <> p)::INT))::DOUBLE, 6) as ml_f1 from u group by part""")
 def metric_multilabel(spark, d):
-    """Micro accuracy and F1 over flattened labels, at a threshold of 0.5."""
-    rows = _predictions(spark, d).where("score is not null").select(F.explode(F.arrays_zip(F.array("label", "pred").alias("t"), F.array((F.col("score") >= 0.5).cast("int"), "pred").alias("p"))).alias("x")).select("x.*")
-    return rows.agg(F.round(metrics.accuracy(F.col("t"), F.col("p")), 6).alias("ml_accuracy"), F.round(metrics.f1(F.col("t"), F.col("p")), 6).alias("ml_f1"))
+    """Micro accuracy and F1 over all labels of a row's vector, scores by the logistic function, at a threshold of 0.5."""
+    labels = F.transform("embedding", lambda _, i: ((F.col("vec_id") + i) % 5 == 0).cast("int"))
+    scores = F.transform("embedding", lambda x: 1 / (1 + F.exp(-x.cast("double"))))
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") % 3).alias("part"), labels.alias("t"), scores.alias("p"))
+    return metrics.multilabel(rows, ["part"], "t", "p").select("part", F.round("accuracy", 6).alias("ml_accuracy"), F.round("f1", 6).alias("ml_f1"))
+
+
+@query("""with x as (select vec_id % 3 as part, case when vec_id % 7 = 0 then -100 else label end as label, embedding[1:10]::DOUBLE[] as e from embeddings)
+select part, round(avg((list_position(e, list_max(e)) - 1 = label)::INT) filter (label <> -100), 6) as accuracy, round(avg(ln(list_sum(list_transform(e, lambda v: exp(v)))) - e[label + 1]) filter (label <> -100), 6) as cross_entropy from x group by part""")
+def metric_logits(spark, d):
+    """Accuracy of the largest logit and cross-entropy, labels of -100 ignored; the first ten numbers of a vector are the logits of its label."""
+    label = F.when(F.col("vec_id") % 7 == 0, -100).otherwise(F.col("label"))
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") % 3).alias("part"), label.alias("label"), F.slice("embedding", 1, 10).alias("e"))
+    return rows.groupBy("part").agg(
+        F.round(metrics.masked_accuracy(F.col("label"), metrics.argmax(F.col("e"))), 6).alias("accuracy"), F.round(metrics.cross_entropy(F.col("e"), F.col("label")), 6).alias("cross_entropy")
+    )
+
+
+@query(f"select task, round(corr(label, score), 6) as pearson from {_P} where score is not null group by task")
+def metric_pearson(spark, d):
+    return _predictions(spark, d).where("score is not null").groupBy("task").agg(F.round(metrics.pearson(F.col("label"), F.col("score")), 6).alias("pearson"))
+
+
+_TASK_SQL = ", ".join(f"('{t}', '{m}')" for t, ms in tasks.TASK_METRICS.items() for m in ms)
+
+
+@query(f"""with p as {_P}, want(task, metric) as (values {_TASK_SQL}),
+t as (select task, avg((label = pred)::INT) as accuracy, 2 * sum((label = 1 and pred = 1)::INT) / nullif(2 * sum((label = 1 and pred = 1)::INT) + sum(((label = 1) <> (pred = 1))::INT), 0)::DOUBLE as f1,
+  sum((label = 1 and pred = 1)::INT)::DOUBLE as tp, sum((label = 0 and pred = 0)::INT)::DOUBLE as tn, sum((label = 0 and pred = 1)::INT)::DOUBLE as fp, sum((label = 1 and pred = 0)::INT)::DOUBLE as fn from p group by task),
+r as (select task, rank() over (partition by task order by label) + (count(*) over (partition by task, label) - 1) / 2.0 as a, rank() over (partition by task order by score) + (count(*) over (partition by task, score) - 1) / 2.0 as b from p where score is not null),
+c as (select distinct task, label as c from p union select distinct task, pred from p),
+f as (select c.task, c.c, 2 * sum((label = c.c and pred = c.c)::INT) / (sum((label = c.c)::INT) + sum((pred = c.c)::INT))::DOUBLE as f1 from c join p on p.task = c.task group by 1, 2),
+v as (select task, 'accuracy' as metric, accuracy as value from t union all select task, 'f1', f1 from t
+  union all select task, 'mcc', coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) from t
+  union all select task, 'spearman', corr(a, b) from r group by task union all select task, 'macro_f1', avg(f1) from f group by task)
+select task, metric, round(value, 6) as value from v join want using (task, metric)""")
+def task_metrics(spark, d):
+    """Each task by the metrics of the task registry."""
+    return metrics.task_scores(_predictions(spark, d), "task", tasks.TASK_METRICS).select("task", "metric", F.round("value", 6).alias("value"))
 
 
 @query(f"select task, round(avg(loss), 6) as batch_mean_loss, count(*) as batches from (select task, example_id // 32 as batch, avg((label - score) * (label - score)) as loss from {_P} where score is not null group by 1, 2) group by task")
