@@ -164,11 +164,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
                     continue
                 keys = batch.column(0).to_numpy()
                 values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                score = np.round(matrix @ values.T, 9)
+                score = matrix @ values.T
                 held = np.broadcast_to(keys, score.shape)
                 if best is not None:
                     held, score = np.concatenate([best[0], held], 1), np.concatenate([best[1], score], 1)
-                order = np.lexsort((held, -score), axis=1)[:, :k]
+                order = np.lexsort((held, -np.round(score, 9)), axis=1)[:, :k]
                 best = np.take_along_axis(held, order, 1), np.take_along_axis(score, order, 1)
             if best is not None:
                 n = best[0].shape[1]
@@ -178,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)  # k rows of every task for each query
+    order = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)  # k rows of every task for each query
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

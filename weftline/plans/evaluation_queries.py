@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import canonical_source, canonical_source_sql
 from ..functions.texts import tokens, tokens_sql
-from ..operators import metrics, rollup, tasks
+from ..operators import index, metrics, rollup, tasks
 from ..operators import sequences as seq
 from .shared import lookup_join, table
 
@@ -338,6 +338,35 @@ def vector_topk(spark, d):
     return metrics.search(v, q, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("""select query_id, vec_id, rank, round(score, 6) as score from (select q.vec_id as query_id, v.vec_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) as score,
+row_number() over (partition by q.vec_id order by round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) desc, v.vec_id)::INTEGER as rank from embeddings q, embeddings v where q.vec_id % 20 = 0) where rank <= 10""")
+def index_all_cells(spark, d):
+    """vector_topk through the cell index with every cell searched, which is exact."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    cells = index.build(v, "vec_id", "embedding", 16)
+    found = index.search(cells, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, 16)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("select true as enough, (select count(*) from embeddings where vec_id % 20 = 0) * 10 as exact_neighbours")
+def index_recall(spark, d):
+    """Whether 12 of 16 cells hold at least nine in ten of the exact ten neighbours of all queries, and how many these are (vectors without clusters need that many)."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = metrics.search(v, q, 10)
+    share = index.recall(index.search(index.build(v, "vec_id", "embedding", 16), q, 10, 12), exact)
+    return exact.agg(F.lit(share >= 0.9).alias("enough"), F.count("*").alias("exact_neighbours"))
+
+
+@query()
+def late_interaction(spark, d):
+    """Queries of twenty token vectors against labels as documents, through cells and candidates."""
+    e = table(spark, d, "embeddings")
+    q = e.select(F.expr("vec_id div 20 * 20").alias("query_id"), (F.col("vec_id") % 20).alias("token"), F.col("embedding").alias("vector"))
+    docs = e.select(F.col("label").alias("doc_id"), F.expr("vec_id div 10").alias("token"), F.col("embedding").alias("vector"))
+    return index.late_interaction(docs, q, 16, 8).withColumn("score", F.round("score", 6))
+
+
 @query("""with n as (select label, min(vec_id) as a from embeddings group by label), p as (select e.vec_id, e.label, e.embedding, n.a, (e.label + 1) % 10 as other from embeddings e join n using (label) where e.vec_id <> n.a)
 select p.label, count(*) as triplets, round(avg((list_inner_product(p.embedding::DOUBLE[], x.embedding::DOUBLE[]) > list_inner_product(p.embedding::DOUBLE[], y.embedding::DOUBLE[]))::INT), 6) as accuracy
 from p join embeddings x on x.vec_id = p.a join n on n.label = p.other join embeddings y on y.vec_id = n.a group by p.label""")
