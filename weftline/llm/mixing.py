@@ -69,7 +69,7 @@ def plan(sized: DataFrame, targets: DataFrame, catalog: DataFrame) -> DataFrame:
     null shares count as 0, null repeats as 0; targets without a mix or a source name are left out. The plan has a row per target (the targets
     and the catalogue are parameter tables); each mix is planned in one group.
     """
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     name = canonical_source(F.col("source_name"))
     places = catalog.select(name.alias("source"), "domain", "lang").dropDuplicates(["source"])
     wanted = targets.where("mix_name is not null and source_name is not null").select(

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokenizers
 from ..functions.names import canonical_source
-from ..plans.shared import lookup_join
+from ..plans.shared import lookup_join, materialise
 
 #: Folder of the public tokenizer files, and the file used by default; both are parameters.
 TOKENIZER_DIR, TOKENIZER = tokenizers.FOLDER, tokenizers.DEFAULT
@@ -50,9 +50,10 @@ def budget(counted: DataFrame) -> DataFrame:
 
     grouping tells which columns a row is summed over (bits of source, lang, domain).
     """
+    counted = materialise(counted.select("source", "lang", "domain", "n_chars", "n_tokens"), "tokens")
     cube = counted.cube("source", "lang", "domain").agg(
         F.grouping_id().alias("grouping"), F.count("*").alias("records"), F.count("n_tokens").alias("with_text"),
         F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
     )
-    whole = F.max(F.when(F.col("grouping") == 7, F.col("n_tokens"))).over(Window.partitionBy(F.lit(0)))  # a row per source and its sums
-    return cube.withColumn("token_share", F.round(F.try_divide(F.col("n_tokens"), whole), 6))
+    whole = counted.agg(F.sum("n_tokens")).first()[0]
+    return cube.withColumn("token_share", F.round(F.try_divide(F.col("n_tokens"), F.lit(whole).cast("long")), 6))
