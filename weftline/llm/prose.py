@@ -114,20 +114,23 @@ def common_words(df: DataFrame, text: str = "text", share: float = COMMON_SHARE)
         counts, n, seen = {"he": Counter(), "en": Counter()}, Counter(), set()
         for whole in batches:
             for batch in slices(whole, 0):
+                fresh = []
                 texts = batch.column(0).to_pylist()
                 for t, symbols in zip(texts, _symbols(texts)):
                     key = xxhash.xxh3_64_intdigest(t)
-                    if symbols >= CODE_SYMBOLS or key in seen:
-                        continue
-                    if len(seen) >= MOST_SEEN:
-                        seen.clear()
-                    seen.add(key)
-                    split = words(t)
-                    flat = np.fromiter(map(facts.__getitem__, split), np.int64, len(split))
-                    script = str(script_of(np.array([(flat & facts.HEBREW > 0).sum()]), np.array([(flat & facts.LATIN > 0).sum()]))[0])
+                    if symbols < CODE_SYMBOLS and key not in seen:
+                        fresh.append(words(t))
+                        if len(seen) >= MOST_SEEN:
+                            seen.clear()
+                        seen.add(key)
+                size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+                flat = np.fromiter((f for w in fresh for f in map(facts.__getitem__, w)), np.int64, int(size.sum()))
+                ends = np.cumsum(size)
+                letters = [np.concatenate([[0], np.cumsum((flat & bit) > 0)]) for bit in (facts.HEBREW, facts.LATIN)]
+                for w, script in zip(fresh, script_of(*(x[ends] - x[ends - size] for x in letters)).tolist()):
                     if script != "other":
                         n[script] += 1
-                        counts[script].update(set(split))
+                        counts[script].update(set(w))
                 for c in counts.values():
                     if len(c) > COUNTERS:
                         for w, _ in c.most_common()[COUNTERS // 2 :]:
@@ -136,6 +139,7 @@ def common_words(df: DataFrame, text: str = "text", share: float = COMMON_SHARE)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["script", "word", "n"])
 
     counted = df.where(F.col(text).isNotNull()).select(text).mapInArrow(go, "script string, word string, n bigint").groupBy("script", "word").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "words")
     total = counted.where("word = ''").select("script", F.col("n").alias("total"))  # a row for each script
     return frozenset(r["word"] for r in counted.where("word <> ''").join(F.broadcast(total), "script").where(F.col("n") >= F.col("total") * share).select("word").collect())
 
