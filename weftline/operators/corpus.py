@@ -161,6 +161,12 @@ def rank_shards(df: DataFrame, key: str, ranks: int, drop_last: bool = False) ->
     return rows.withColumn("rank", F.pmod("pos", F.lit(ranks)).cast("long"))
 
 
+def epoch_shards(df: DataFrame, key: str, ranks: int, seed: int, epoch: int, drop_last: bool = False) -> DataFrame:
+    """rank_shards of an epoch's permutation: the rows in hash order of the key under seed + epoch."""
+    numbered = df.withColumn("__order", F.conv(F.substring(hash_order(seed + epoch, F.col(key)), 1, 15), 16, 10).cast("long"))
+    return rank_shards(numbered, "__order", ranks, drop_last).drop("__order")
+
+
 def instance_weights(weights: DataFrame, counts: DataFrame, key: str, target: float) -> DataFrame:
     """instances = round half even of coefficient x count x target; a weight without a count stops the query."""
     rows = weights.join(counts, key, "left")

@@ -319,6 +319,13 @@ def rank_shard(spark, d):
     return corpus.rank_shards(table(spark, d, "documents").select("doc_id"), "doc_id", 7)
 
 
+@query(f"""with n as (select count(*) as n from documents), p as (select doc_id, row_number() over (order by substr({hash_order_sql(45, "doc_id")}, 1, 15)) - 1 as pos from documents)
+select doc_id, pos, pos % 7 as rank from p, n where pos < n - n % 7""")
+def rank_epoch(spark, d):
+    """The rows that each rank reads in the third epoch, the rest at the end dropped."""
+    return corpus.epoch_shards(table(spark, d, "documents").select("doc_id"), "doc_id", 7, 42, 3, drop_last=True)
+
+
 @query("""select doc_id, lang, n, sum(n) over (partition by lang order by doc_id rows unbounded preceding)::BIGINT as total from (select doc_id, lang, coalesce(length(text), 0) as n from documents)""")
 def running_total_by_lang(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n"))
