@@ -39,7 +39,7 @@ def test_running_totals_in_any_number_of_slices(spark, slices):
 
 
 def test_slices_follow_the_rows():
-    assert [ordered.slice_count(n) for n in (0, 20_000, 20_001, 10**12)] == [1, 1, 2, ordered.MOST_SLICES]
+    assert [ordered.slice_count(n) for n in (0, ordered.ROWS_OF_SLICE, ordered.ROWS_OF_SLICE + 1, 10**12)] == [1, 1, 2, ordered.MOST_SLICES]
 
 
 def test_budget_keeps_at_least_a_row(spark):

@@ -54,19 +54,25 @@ def concat_chunks(df: DataFrame, key: str, ids: str, length: int, by: list[str]
     """
     by = by or []
     rows = df.where(F.size(ids) > 0).select(*by, F.col(key).alias("__key"), F.col(ids).alias("__ids"))
-    # The ids go through the window with their lengths: they are moved once, and repeated keys stay apart.
-    rows = running_total(rows, "__key", F.size("__ids").cast("long"), "__end", by=by).withColumn("__start", F.col("__end") - F.size("__ids"))
+    # The ids go through the window with their lengths: repeated keys stay apart, and chunks are put together where the rows lie.
+    n = F.size("__ids").cast("long")
+    rows = running_total(rows, "__key", n, "__end", by=by, keep_slice=True).withColumn("__start", F.col("__end") - n)
     whole = F.lit(length)
     touched = F.sequence(F.floor(F.col("__start") / whole), F.floor((F.col("__end") - 1) / whole))
-    parts = rows.select(*by, "__start", "__end", "__ids", F.explode(touched).alias("chunk"))
+    parts = rows.select(*by, "__slice", "__start", "__end", "__ids", F.explode(touched).alias("chunk"))
     lo = F.greatest(F.col("chunk") * whole, F.col("__start"))
     hi = F.least((F.col("chunk") + 1) * whole, F.col("__end"))
-    part = F.slice("__ids", (lo - F.col("__start") + 1).cast("int"), (hi - lo).cast("int"))
-    parts = parts.select(*by, "chunk", "__start", (hi - lo == length).alias("__full"), part.alias("__part"))
-    # A chunk that lies within one sequence is complete; only pieces of others are gathered.
-    out = parts.where("__full").select(*by, "chunk", F.col("__part").alias("input_ids"))
-    joined = parts.where("not __full").groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(F.struct("__start", "__part"))).alias("__parts"))  # at most length parts
-    out = out.unionByName(joined.select(*by, "chunk", F.flatten(F.col("__parts.__part")).alias("input_ids")).where(F.size("input_ids") == length))
+    parts = parts.select(*by, "__slice", "chunk", lo.alias("__at"), F.slice("__ids", (lo - F.col("__start") + 1).cast("int"), (hi - lo).cast("int")).alias("__part"))
+
+    def gathered(pieces: DataFrame, keys: list[str]) -> DataFrame:
+        held = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", "__part"))).alias("__parts"))  # at most length parts
+        return held.select(*keys, F.get(F.col("__parts.__at"), F.lit(0)).alias("__at"), F.flatten(F.col("__parts.__part")).alias("__part"))
+
+    # Rows are partitioned by (by, slice): this moves nothing. Only chunks that reach over the end of a slice are moved.
+    local = gathered(parts, [*by, "__slice", "chunk"])
+    over = gathered(local.where(F.size("__part") < length), [*by, "chunk"]).where(F.size("__part") == length)
+    out = local.where(F.size("__part") == length).select(*by, "chunk", F.col("__part").alias("input_ids"))
+    out = out.unionByName(over.select(*by, "chunk", F.col("__part").alias("input_ids")))
     return out.where(F.col("chunk") * length < most_tokens) if most_tokens else out
 
 

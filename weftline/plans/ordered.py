@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_OF_SLICE, MOST_SLICES = 20_000, 10_000
+from .shared import BROADCAST_BYTES, byte_size, materialise
+
+ROWS_OF_SLICE, MOST_SLICES = 4_000, 10_000
 
 
 def slice_count(rows: int) -> int:
@@ -56,27 +58,36 @@ def _inside(key: str, ties: list[str], by: list[str]) -> Window:
     return Window.partitionBy(*by, "__slice").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _with_totals(rows: DataFrame, totals: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """rows with columns of the totals of their slice; without by the totals have at most MOST_SLICES rows and are broadcast."""
-    named = totals.select(*[F.col(c).alias(f"__t_{c}") for c in [*by, "__slice"]], *columns)
-    named = named if by else F.broadcast(named)
-    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in [*by, "__slice"]]).drop(*[f"__t_{c}" for c in [*by, "__slice"]])
+def _totals(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """columns of the totals of each slice and value of by; broadcast if they are small, so that the rows they meet stay where they are."""
+    named = materialise(_earlier(rows, by).select(*[F.col(c).alias(f"__t_{c}") for c in [*by, "__slice"]], *columns), "slices")
+    return F.broadcast(named) if byte_size(named) <= BROADCAST_BYTES else named
+
 
+def _joined(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    return rows.join(totals, [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in [*by, "__slice"]]).drop(*[f"__t_{c}" for c in [*by, "__slice"]])
 
-def running_total(df: DataFrame, key: str, value: Column, alias: str, ties: list[str] | None = None, by: list[str] | None = None, slices: int | None = None) -> DataFrame:
+
+def running_total(df: DataFrame, key: str, value: Column, alias: str, ties: list[str] | None = None, by: list[str] | None = None, slices: int | None = None, sizes: DataFrame | None = None, keep_slice: bool = False) -> DataFrame:
     """df with the sum of value over the rows up to and including each one, in order of key (and ties), within by.
 
     key is numeric; rows equal in key and ties are ordered arbitrarily. Null keys come
     first, nulls in by are a group. The cuts are read once from the data and become
-    literals, so recomputed tasks see the same slices.
+    literals, so recomputed tasks see the same slices. sizes (key, by and __value of the same
+    rows) spares reading the other columns for the cuts and sums. keep_slice also gives
+    __slice, by which (and by) the result is partitioned.
     """
-    by, ties, bounds = by or [], ties or [], _bounds(df, key, slices)
+    by, ties = by or [], ties or []
+    small = df.withColumn("__value", value).select(*dict.fromkeys([*by, key, "__value"])) if sizes is None else sizes
+    bounds = _bounds(small, key, slices)
     rows = df.withColumn("__slice", _slice_of(key, bounds)).withColumn("__value", value)
     total = F.sum("__value").over(_inside(key, ties, by))
+    kept = [*df.columns, *["__slice"] * keep_slice]
     if not bounds:
-        return rows.withColumn(alias, total).select(*df.columns, alias)
-    out = _with_totals(rows.withColumn("__inside", total), _earlier(rows, by), by, ["__before"])
-    return out.withColumn(alias, F.col("__inside") + F.col("__before")).select(*df.columns, alias)
+        return rows.withColumn(alias, total).select(*kept, alias)
+    before = _totals(small.withColumn("__slice", _slice_of(key, bounds)), by, ["__before"])
+    out = _joined(rows.withColumn("__inside", total), before, by)
+    return out.withColumn(alias, F.col("__inside") + F.col("__before")).select(*kept, alias)
 
 
 def position(df: DataFrame, key: str, alias: str, ties: list[str] | None = None, by: list[str] | None = None, slices: int | None = None) -> DataFrame:
@@ -95,7 +106,7 @@ def prefix(df: DataFrame, key: str, value: Column, limit: int, ties: list[str] |
     inside = F.sum("__value").over(_inside(key, ties, by))
     if not bounds:
         return rows.withColumn("__upto", inside).where(F.col("__upto") - F.col("__value") < limit).select(*df.columns)
-    rows = _with_totals(rows, _earlier(rows, by), by, ["__before", "__sum"])
+    rows = _joined(rows, _totals(rows, by, ["__before", "__sum"]), by)
     whole = F.col("__before") + F.col("__sum") < limit
     last = rows.where(~whole & (F.col("__before") < limit)).withColumn("__upto", inside)
     last = last.where(F.col("__before") + F.col("__upto") - F.col("__value") < limit)
