@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.ordered import position, running_total
 
 IGNORE = -100
+SEQUENCES_OF_SLICE = 4_000  # whole sequences that are put in order together
 
 
 def truncate_pad(ids: Column, length: int, pad: Column) -> Column:
@@ -56,7 +57,7 @@ def concat_chunks(df: DataFrame, key: str, ids: str, length: int, by: list[str]
     rows = df.where(F.size(ids) > 0).select(*by, F.col(key).alias("__key"), F.col(ids).alias("__ids"))
     # The ids go through the window with their lengths: repeated keys stay apart, and chunks are put together where the rows lie.
     n = F.size("__ids").cast("long")
-    rows = running_total(rows, "__key", n, "__end", by=by, keep_slice=True).withColumn("__start", F.col("__end") - n)
+    rows = running_total(rows, "__key", n, "__end", by=by, each=SEQUENCES_OF_SLICE, keep_slice=True).withColumn("__start", F.col("__end") - n)
     whole = F.lit(length)
     touched = F.sequence(F.floor(F.col("__start") / whole), F.floor((F.col("__end") - 1) / whole))
     parts = rows.select(*by, "__slice", "__start", "__end", "__ids", F.explode(touched).alias("chunk"))
