@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import position, running_total
+from ..plans.ordered import position, running_total, slice_count
+from ..plans.shared import materialise
 
 IGNORE = -100
-SEQUENCES_OF_SLICE = 4_000  # whole sequences that are put in order together
+SEQUENCES_OF_SLICE = 1_000  # whole sequences that are put in order together
 
 
 def truncate_pad(ids: Column, length: int, pad: Column) -> Column:
@@ -57,23 +58,26 @@ def concat_chunks(df: DataFrame, key: str, ids: str, length: int, by: list[str]
     rows = df.where(F.size(ids) > 0).select(*by, F.col(key).alias("__key"), F.col(ids).alias("__ids"))
     # The ids go through the window with their lengths: repeated keys stay apart, and chunks are put together where the rows lie.
     n = F.size("__ids").cast("long")
-    rows = running_total(rows, "__key", n, "__end", by=by, each=SEQUENCES_OF_SLICE, keep_slice=True).withColumn("__start", F.col("__end") - n)
+    sizes = materialise(rows.select(*by, "__key", n.alias("__value")), "sizes")
+    slices = slice_count(sizes.count(), SEQUENCES_OF_SLICE)
+    rows = running_total(rows, "__key", n, "__end", by=by, slices=slices, sizes=sizes, keep_slice=True).withColumn("__start", F.col("__end") - n)
     whole = F.lit(length)
     touched = F.sequence(F.floor(F.col("__start") / whole), F.floor((F.col("__end") - 1) / whole))
-    parts = rows.select(*by, "__slice", "__start", "__end", "__ids", F.explode(touched).alias("chunk"))
+    parts = rows.select(*by, "__slice", "__before", "__sum", "__start", "__end", "__ids", F.explode(touched).alias("chunk"))
     lo = F.greatest(F.col("chunk") * whole, F.col("__start"))
     hi = F.least((F.col("chunk") + 1) * whole, F.col("__end"))
-    parts = parts.select(*by, "__slice", "chunk", lo.alias("__at"), F.slice("__ids", (lo - F.col("__start") + 1).cast("int"), (hi - lo).cast("int")).alias("__part"))
+    first, last = F.floor(F.col("__before") / whole), F.floor((F.col("__before") + F.col("__sum") - 1) / whole)
+    edge = F.coalesce((F.col("chunk") == first) | (F.col("chunk") == last), F.lit(False))
+    parts = parts.select(*by, "__slice", "chunk", edge.alias("__edge"), lo.alias("__at"), F.slice("__ids", (lo - F.col("__start") + 1).cast("int"), (hi - lo).cast("int")).alias("__part"))
 
     def gathered(pieces: DataFrame, keys: list[str]) -> DataFrame:
         held = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", "__part"))).alias("__parts"))  # at most length parts
-        return held.select(*keys, F.get(F.col("__parts.__at"), F.lit(0)).alias("__at"), F.flatten(F.col("__parts.__part")).alias("__part"))
+        return held.select(*by, "chunk", F.flatten(F.col("__parts.__part")).alias("input_ids")).where(F.size("input_ids") == length)
 
-    # Rows are partitioned by (by, slice): this moves nothing. Only chunks that reach over the end of a slice are moved.
-    local = gathered(parts, [*by, "__slice", "chunk"])
-    over = gathered(local.where(F.size("__part") < length), [*by, "chunk"]).where(F.size("__part") == length)
-    out = local.where(F.size("__part") == length).select(*by, "chunk", F.col("__part").alias("input_ids"))
-    out = out.unionByName(over.select(*by, "chunk", F.col("__part").alias("input_ids")))
+    # Rows are partitioned by (by, slice), so this moves nothing; only the two chunks at the ends of a slice are moved.
+    out = gathered(parts.where("not __edge") if slices > 1 else parts, [*by, "__slice", "chunk"])
+    if slices > 1:
+        out = out.unionByName(gathered(parts.where("__edge"), [*by, "chunk"]))
     return out.where(F.col("chunk") * length < most_tokens) if most_tokens else out
 
 

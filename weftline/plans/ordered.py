@@ -20,9 +20,9 @@ def slice_count(rows: int, each: int = ROWS_OF_SLICE) -> int:
     return max(1, min(MOST_SLICES, -(-rows // each)))
 
 
-def _bounds(df: DataFrame, key: str, slices: int | None, each: int = ROWS_OF_SLICE) -> list:
+def _bounds(df: DataFrame, key: str, slices: int | None) -> list:
     """The upper ends of all slices but the last."""
-    slices = slices or slice_count(df.count(), each)
+    slices = slices or slice_count(df.count())
     if slices < 2:
         return []
     cuts = ", ".join(f"{k / slices}D" for k in range(1, slices))
@@ -68,23 +68,24 @@ def _joined(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(totals, [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in [*by, "__slice"]]).drop(*[f"__t_{c}" for c in [*by, "__slice"]])
 
 
-def running_total(df: DataFrame, key: str, value: Column, alias: str, ties: list[str] | None = None, by: list[str] | None = None, slices: int | None = None, each: int = ROWS_OF_SLICE, keep_slice: bool = False) -> DataFrame:
+def running_total(df: DataFrame, key: str, value: Column, alias: str, ties: list[str] | None = None, by: list[str] | None = None, slices: int | None = None, sizes: DataFrame | None = None, keep_slice: bool = False) -> DataFrame:
     """df with the sum of value over the rows up to and including each one, in order of key (and ties), within by.
 
     key is numeric; rows equal in key and ties are ordered arbitrarily. Null keys come
     first, nulls in by are a group. The cuts are read once from the data and become
-    literals, so recomputed tasks see the same slices. each: rows of a slice, fewer for wide
-    rows. keep_slice also gives __slice, by which (and by) the result is partitioned.
+    literals, so recomputed tasks see the same slices. sizes (by, key and __value of the same
+    rows) spares reading wide rows for cuts and sums. keep_slice also gives __slice, by
+    which (and by) the result is partitioned, and the slice's __before and __sum.
     """
     by, ties = by or [], ties or []
-    small = df.withColumn("__value", value).select(*dict.fromkeys([*by, key, "__value"]))
-    bounds = _bounds(small, key, slices, each)
+    small = df.withColumn("__value", value).select(*dict.fromkeys([*by, key, "__value"])) if sizes is None else sizes
+    bounds = _bounds(small, key, slices)
     rows = df.withColumn("__slice", _slice_of(key, bounds)).withColumn("__value", value)
     total = F.sum("__value").over(_inside(key, ties, by))
-    kept = [*df.columns, *["__slice"] * keep_slice]
+    kept = [*df.columns, *["__slice", "__before", "__sum"][: 3 * keep_slice]]
     if not bounds:
-        return rows.withColumn(alias, total).select(*kept, alias)
-    before = _totals(small.withColumn("__slice", _slice_of(key, bounds)), by, ["__before"])
+        return rows.withColumn(alias, total).withColumns({"__before": F.lit(0), "__sum": F.lit(None).cast("long")}).select(*kept, alias)
+    before = _totals(small.withColumn("__slice", _slice_of(key, bounds)), by, ["__before", "__sum"])
     out = _joined(rows.withColumn("__inside", total), before, by)
     return out.withColumn(alias, F.col("__inside") + F.col("__before")).select(*kept, alias)
 
