@@ -89,6 +89,17 @@ def test_cross_split_pairs_against_brute_force(spark, records, truth):
     assert sum(r["pairs"] for r in report) == len(got)
 
 
+def test_report_counts_classes_like_pairs(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near_text = text.replace("w39", "x39")
+    rows = [(1, text, "a", "train"), (1, text, "a", "test"), (2, text, "A.jsonl", "train"), (3, near_text, None, "train"), (4, text, "b", "validation"), (5, text, "b", "validation"), (6, "short", "b", "test"), (7, text, "a", None)]
+    df = spark.createDataFrame(rows, "rec_id bigint, text string, _source string, split string")
+    got = {(r["split"], r["source"]): (r["records"], r["overlapping"], r["pairs"], r["with_equal_text"]) for r in overlap.report(df).collect()}
+    # Record 1 stands in both splits and does not overlap with itself.
+    assert got == {("test", "a.jsonl"): (1, 1, 2, 1), ("validation", "b.jsonl"): (2, 2, 6, 2), ("test", "b.jsonl"): (1, 0, 0, 0)}
+    assert overlap.overlap_pairs(df).count() == 8
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert neardup.groups(none).count() == 0 and overlap.found(none).count() == 0 and overlap.report(none).count() == 0
